@@ -135,12 +135,18 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("_gone"),
     )
     losses = pin(marked.filter("_share > 0"), "losses")
-    keyed = docs.withColumns({"id": F.col(id_col), "host": F.col(host_col), "text_hash": hashed(F.col(text_col))}) if not {"id", "host", "text_hash"} & set(docs.columns) else None
-    if keyed is None:
+    if {"id", "host", "text_hash"} & set(docs.columns):
         raise ValueError("docs must not have columns named id, host or text_hash")
-    kept = base_metrics(lookup_join(keyed, losses, ["id", "host", "text_hash"]), text_col).filter(
-        ~F.col("base_failed") & (F.coalesce("_share", F.lit(0.0)) < depleted)
-    )
+    keyed = docs.withColumns({"id": F.col(id_col), "host": F.col(host_col), "text_hash": hashed(F.col(text_col))})
+    # Pinned before anything filters by it: a filter pushed below would evaluate the metrics' arrays within their own lambdas.
+    failed = pin(base_metrics(keyed.select("id", "host", "text_hash", F.col(text_col).alias("_text")), "_text").select("id", "host", "text_hash", "base_failed"), "failed")
+    failed = failed.filter("base_failed").select("id", "host", "text_hash").distinct().withColumn("_failed", F.lit(True))
+    on = [failed[c].eqNullSafe(losses[c]) for c in ("id", "host", "text_hash")]
+    both = failed.join(losses, on, "full").select(
+        *[F.coalesce(failed[c], losses[c]).alias(c) for c in ("id", "host", "text_hash")], "_share", "_gone",
+        (F.coalesce("_failed", F.lit(False)) | (F.coalesce("_share", F.lit(0.0)) >= depleted)).alias("_drop"),
+    )
+    kept = lookup_join(keyed, pin(both, "verdicts"), ["id", "host", "text_hash"]).filter(~F.coalesce("_drop", F.lit(False)))
     stays = F.filter(F.split(text_or_empty(text_col), "\n", -1), lambda x: ~F.array_contains("_gone", hashed(_normal_line(x))))
     text = F.when(F.col("_share").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text_col))
     out = kept.withColumn(text_col, text)
