@@ -23,7 +23,8 @@ from lagweave.llm.common import pin, table
 EXAMPLES, TERMS = 20_000, 1500
 #: Hashed terms; neighbours; ids in a block; least number of examples that carry a term; bins of calibration.
 SPACE, NEIGHBOURS, BLOCK, LEAST, BINS = 1 << 22, 15, 128, 8, 20
-CACHED_WORDS = 300_000
+#: Words whose terms, and vectors whose votes, a worker remembers at most.
+CACHED_WORDS, CACHED_VOTES = 300_000, 50_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,6 +110,27 @@ class BlockMaxIndex:
         return ids[order], sims[order]
 
 
+def _alike_together(vectors: list) -> list[int]:
+    """Order of vectors by their terms, heaviest first: blocks of similar vectors have low bounds for most queries."""
+    return sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.lexsort((vectors[i][0], -vectors[i][1]))].tolist(), i))
+
+
+class _Searcher:
+    """Searches of an index, where a vector seen before is not searched again."""
+
+    def __init__(self, index: BlockMaxIndex, k: int):
+        self.index, self.k, self.known = index, k, {}
+
+    def __call__(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = terms.tobytes() + weights.tobytes()
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) >= CACHED_VOTES:
+                self.known.clear()
+            got = self.known[key] = self.index.search(terms, weights, self.k)
+        return got
+
+
 def _vote(ids: np.ndarray, sims: np.ndarray, labels: np.ndarray, base: float) -> float:
     """Share of label 1 among neighbours weighted by squared similarity; far neighbours leave weight to the base rate."""
     w = sims**2
@@ -151,11 +173,17 @@ def toxicity(
     train = _training(documents, labels, id_col, text_col, examples)
 
     def count(batches):
-        n = np.zeros((2, SPACE), np.int32)
+        n, known = np.zeros((2, SPACE), np.int32), {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = list({t for w in _words(text) for t in _terms(w)})
-                n[1 if y else 0, got] += 1
+                got: set[int] = set()
+                if len(known) > CACHED_WORDS // 4:
+                    known.clear()
+                for w in _words(text):
+                    if w not in known:
+                        known[w] = tuple(_terms(w))
+                    got.update(known[w])
+                n[1 if y else 0, np.fromiter(got, np.int64, len(got))] += 1
         hit = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[0, hit].astype(np.int64)), pa.array(n[1, hit].astype(np.int64))], names=["term", "clean", "toxic"])
 
@@ -197,11 +225,24 @@ def toxicity(
     got = train.mapInArrow(vectors, "doc long, y int, terms array<long>, weights array<double>").orderBy("doc", "terms").collect()  # at most `examples` short vectors
     empty = [r["y"] for r in got if not r["terms"]]
     got = [r for r in got if r["terms"]]
+    order = _alike_together([(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in got])
+    got = [got[i] for i in order]
     y = np.array([r["y"] for r in got], float)
     base = float(y.mean()) if len(y) else 0.0
     unit = [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in got]
     index = BlockMaxIndex(unit, len(vocabulary))
-    votes = np.array([_vote(*index.search(t, w, NEIGHBOURS, without=i), y, base) for i, (t, w) in enumerate(unit)])
+    examples_ = spark.sparkContext.broadcast((index, unit, y, base))
+
+    def own_votes(batches):
+        index, unit, y, base = examples_.value
+        for batch in batches:
+            i = batch.column(0).to_pylist()
+            votes = [_vote(*index.search(*unit[j], NEIGHBOURS, without=j), y, base) for j in i]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(votes, pa.float64())], names=["i", "vote"])
+
+    # One number for each of at most `examples` vectors, dealt out in short ranges as neighbours in order cost alike.
+    own = spark.range(0, len(unit), 1, max(1, len(unit) // 500)).mapInArrow(own_votes, "i long, vote double").collect()
+    votes = np.array([r["vote"] for r in sorted(own, key=lambda r: r["i"])], float)
     scored = votes >= 0
     xs, ys = _calibrate(votes[scored], y[scored]) if scored.any() else (np.array([0.0]), np.array([0.0]))
     blank = (sum(empty) + 0.05) / (len(empty) + 1) if got or empty else 0.0
@@ -209,12 +250,12 @@ def toxicity(
 
     def score(batches):
         index, y, base, xs, ys, blank, ids = model.value
-        features = _Features(shared.value)
+        features, nearest = _Features(shared.value), _Searcher(index, NEIGHBOURS)
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
                 terms_, weights = _vector(features(text), idf)
-                near, sims = index.search(terms_, weights, NEIGHBOURS)
+                near, sims = nearest(terms_, weights)
                 vote = _vote(near, sims, y, base)
                 # Calibrated, and by a thousandth still in the order of the votes.
                 scores.append(blank if vote < 0 else min(1.0, max(0.0, 0.999 * float(np.interp(vote, xs, ys)) + 0.001 * vote)))
