@@ -31,8 +31,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _tokens(text: str | None) -> set[str]:
+    return set(text.lower().split()) if text else set()
+
+
+def _word(token: str) -> str:
+    return token.strip(".,;:!?\"'()*#%&$|<>[]")
+
+
 def _words(text: str | None) -> set[str]:
-    return {w.strip(".,;:!?\"'()*#%&$|<>[]") for w in text.lower().split()} if text else set()
+    return {_word(t) for t in _tokens(text)}
 
 
 def _terms(word: str) -> list[int]:
@@ -41,27 +49,33 @@ def _terms(word: str) -> list[int]:
 
 
 class _Features:
-    """Numbers of the vocabulary's terms in a text, with repeats for each distinct word; words are remembered."""
+    """Numbers of the vocabulary's terms in a text and in how many of its distinct words each is; tokens are remembered."""
 
     def __init__(self, vocabulary: dict[int, int]):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary = vocabulary
+        # Tokens whose word has terms of the vocabulary, with word and terms, and tokens whose word has none.
+        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.blank: set[str] = set()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) + len(self.blank) > CACHED_WORDS:
             self.known.clear()
-        out: list[int] = []
-        known = self.known
-        for w in _words(text):
-            got = known.get(w)
+            self.blank.clear()
+        found: dict[str, tuple[int, ...]] = {}
+        for token in _tokens(text) - self.blank:
+            got = self.known.get(token)
             if got is None:
-                got = known[w] = tuple(v for t in _terms(w) if (v := self.vocabulary.get(t)) is not None)
-            if got:
-                out += got
-        return np.array(out, np.int64)
+                word = _word(token)
+                terms = tuple(v for t in _terms(word) if (v := self.vocabulary.get(t)) is not None)
+                if not terms:
+                    self.blank.add(token)
+                    continue
+                got = self.known[token] = word, terms
+            found[got[0]] = got[1]
+        return np.unique(np.array([v for terms in found.values() for v in terms], np.int64), return_counts=True)
 
 
-def _vector(features: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms, counts = np.unique(features, return_counts=True)
+def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     weights = (1 + np.log(counts)) * idf[terms] if len(terms) else np.empty(0)
     norm = np.sqrt((weights**2).sum())
     return terms, weights / norm if norm else weights
@@ -100,7 +114,11 @@ class BlockMaxIndex:
             got = np.bincount(row, weights=full[term] * weight, minlength=self.block)
             hit = np.flatnonzero(got > 0)
             hit = hit[hit + b * self.block != without]
-            ids, sims = np.r_[ids, hit + b * self.block], np.r_[sims, got[hit]]
+            if len(ids) >= k:  # what is below the k-th by more than rounding cannot enter
+                hit = hit[got[hit] > worst - 1e-6]
+            if not len(hit):
+                continue
+            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, got[hit]])
             if len(ids) > k:
                 best = np.lexsort((ids, -np.round(sims, 9)))[:k]
                 ids, sims = ids[best], sims[best]
@@ -150,13 +168,11 @@ def _calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nd
     return xs, np.array([(b[2] + 0.5 * 0.1) / (b[3] + 0.1) for b in blocks])
 
 
-def _training(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, examples: int) -> DataFrame:
-    """Pinned doc, text, y of at most `examples` labelled rows that are not held out."""
+def _training(labels: DataFrame, id_col: str, examples: int) -> DataFrame:
+    """Pinned _doc, y of at most `examples` labelled ids that are not held out."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).filter(~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_doc")).agg(F.max("toxic").alias("y"))
-    chosen = known.orderBy(F.xxhash64("_doc"), "_doc").limit(examples)
-    texts = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return pin(texts.join(F.broadcast(chosen), F.col("doc") == F.col("_doc")).select("doc", "text", "y"), "examples")
+    return pin(known.orderBy(F.xxhash64("_doc"), "_doc").limit(examples), "chosen")
 
 
 def toxicity(
@@ -170,19 +186,20 @@ def toxicity(
     an empty table gives an empty result. Other columns are not read.
     """
     spark = documents.sparkSession
-    train = _training(documents, labels, id_col, text_col, examples)
+    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    chosen_docs = F.broadcast(_training(labels, id_col, examples))  # at most `examples` pairs of numbers
+    train = pin(docs.join(chosen_docs, F.col("doc") == F.col("_doc")).select("text", "y"), "examples")
 
     def count(batches):
         n, known = np.zeros((2, SPACE), np.int32), {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got: set[int] = set()
                 if len(known) > CACHED_WORDS // 4:
                     known.clear()
-                for w in _words(text):
-                    if w not in known:
-                        known[w] = tuple(_terms(w))
-                    got.update(known[w])
+                words = _words(text)
+                for w in words.difference(known):
+                    known[w] = tuple(_terms(w))
+                got: set[int] = set().union(*map(known.__getitem__, words))
                 n[1 if y else 0, np.fromiter(got, np.int64, len(got))] += 1
         hit = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[0, hit].astype(np.int64)), pa.array(n[1, hit].astype(np.int64))], names=["term", "clean", "toxic"])
@@ -199,37 +216,30 @@ def toxicity(
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def document_counts(batches):
-        features = _Features(shared.value)
-        n, rows = np.zeros(max(len(shared.value), 1), np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                got = np.unique(features(text))
-                n[got] += 1
-                rows += 1
-        hit = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit]), pa.array(np.r_[rows, n[hit]])], names=["term", "n"])
-
-    df = documents.select(F.col(text_col)).mapInArrow(document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most `terms` rows
-    seen = {r["term"]: r["n"] for r in df}
-    idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(len(vocabulary))], float))) + 1 if vocabulary else np.zeros(0)
-
-    def vectors(batches):
+    def extract(batches):
         features = _Features(shared.value)
         for batch in batches:
-            out = [(doc, int(bool(y)), *_vector(features(text), idf)) for doc, text, y in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)]
+            out = [features(text) for text in batch.column(1).to_pylist()]
             if out:
-                d, y, t, w = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(y, pa.int32()), pa.array([x.tolist() for x in t], pa.list_(pa.int64())), pa.array([x.tolist() for x in w], pa.list_(pa.float64()))], names=["doc", "y", "terms", "weights"])
+                offsets = pa.array(np.cumsum([0, *[len(t) for t, _ in out]]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc", "terms", "counts"])
 
-    got = train.mapInArrow(vectors, "doc long, y int, terms array<long>, weights array<double>").orderBy("doc", "terms").collect()  # at most `examples` short vectors
+    # Each whole text is gone through once; counts, examples and scores are taken from these short lists.
+    found = pin(docs.mapInArrow(extract, "doc long, terms array<int>, counts array<int>"), "features")
+    df = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # at most `terms` rows
+    seen = {r["term"]: r["n"] for r in df}
+    idf = np.log((1 + found.count()) / (1 + np.array([seen.get(i, 0) for i in range(len(vocabulary))], float))) + 1 if vocabulary else np.zeros(0)
+
+    got = found.join(chosen_docs, F.col("doc") == F.col("_doc")).select("doc", (F.col("y") != 0).cast("int").alias("y"), "terms", "counts")
+    got = got.orderBy("doc", "terms", "counts").collect()  # at most `examples` documents' short lists
     empty = [r["y"] for r in got if not r["terms"]]
     got = [r for r in got if r["terms"]]
-    order = _alike_together([(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in got])
-    got = [got[i] for i in order]
+    unit = [_vector(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), idf) for r in got]
+    order = _alike_together(unit)
+    got, unit = [got[i] for i in order], [unit[i] for i in order]
     y = np.array([r["y"] for r in got], float)
     base = float(y.mean()) if len(y) else 0.0
-    unit = [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in got]
     index = BlockMaxIndex(unit, len(vocabulary))
     examples_ = spark.sparkContext.broadcast((index, unit, y, base))
 
@@ -250,11 +260,11 @@ def toxicity(
 
     def score(batches):
         index, y, base, xs, ys, blank, ids = model.value
-        features, nearest = _Features(shared.value), _Searcher(index, NEIGHBOURS)
+        nearest = _Searcher(index, NEIGHBOURS)
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                terms_, weights = _vector(features(text), idf)
+            for terms_, counts_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                terms_, weights = _vector(np.array(terms_, np.int64), np.array(counts_, np.int64), idf)
                 near, sims = nearest(terms_, weights)
                 vote = _vote(near, sims, y, base)
                 # Calibrated, and by a thousandth still in the order of the votes.
@@ -262,8 +272,7 @@ def toxicity(
                 evidence.append([ids[i] for i in near[:3]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc", "score", "evidence"])
 
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    out = docs.mapInArrow(score, "doc long, score double, evidence array<long>")
+    out = found.mapInArrow(score, "doc long, score double, evidence array<long>")
     return out.select(
         F.col("doc").alias(id_col), F.coalesce(held_out(F.col("doc")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
