@@ -4,7 +4,8 @@ The tagger is trained in numpy on windows of documents whose spans the base patt
 over overlapping windows that hold a digit or an at sign: every kind of span has one, so other windows
 cannot hold any. Spans that windows cut off are left to the windows that see them whole; what is decoded
 twice is kept once, from where it has most context. Base spans always stay; the tagger only adds spans
-where no base pattern matches, and only if they hold what their kind must (a checked number, say).
+that overlap none of them, and only if they hold what their kind must (a checked number, say). A run of
+words tagged as one that holds it only in parts, such as two cards side by side, is taken apart.
 """
 
 from __future__ import annotations
@@ -273,6 +274,24 @@ def _holds(kind: int, found: str) -> bool:
     return (13 <= len(digits) <= 19 and _luhn(digits)) if kind == 2 else 9 <= len(digits) <= 15
 
 
+def held_parts(kind: int, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of what holds `kind` in a tagged span: from the left, the most words in a row that do."""
+    words, out, i = [(m.start(), m.end()) for m in re.compile(r"\S+").finditer(text, start, end)], [], 0
+    while i < len(words):
+        at, numbers = 0, 0
+        for j in range(i, len(words)):
+            if _ANCHOR.search(text, *words[j]):
+                numbers += 1
+                if numbers > 19:  # no kind has more digits, so none has more words with one
+                    break
+                if _holds(kind, text[words[i][0] : words[j][1]]):
+                    at = j + 1
+        if at:
+            out.append((words[i][0], words[at - 1][1]))
+        i = at or i + 1
+    return out
+
+
 def _labelled_windows(batches):
     for batch in batches:
         ids, xs, ys = [], [], []
@@ -282,7 +301,10 @@ def _labelled_windows(batches):
             if not len(starts):
                 continue
             tags = np.zeros(len(cls) + WINDOW, np.int8)
-            for kind, s, e in sorted(base_spans(text)[0], key=lambda x: x[1] - x[2]):
+            good, every = base_spans(text)
+            # Matches that fail as a whole are labelled where parts of them hold, else the tagger would learn to leave those out.
+            parts = [(k, *p) for k, s, e in set(every).difference(good) for p in held_parts(k, text, s, e)]
+            for kind, s, e in [*sorted(good, key=lambda x: x[1] - x[2]), *sorted(parts)]:
                 if not tags[s:e].any():
                     tags[s:e] = 2 + 2 * kind
                     tags[s] = 1 + 2 * kind
@@ -320,7 +342,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows = []
             texts = batch.column(1).to_pylist()
-            found = [base_spans(t or "") for t in texts]
+            found = [base_spans(t or "")[0] for t in texts]
             windows, where = [], []
             for i, t in enumerate(texts):
                 if t and _ANCHOR.search(t):
@@ -338,12 +360,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     if some[b]:
                         raw.setdefault(i, []).extend((s, k, s + p, s + q) for k, p, q in _tag_spans(tags[b]))
             for i, (doc, t) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                base, every = found[i]
-                taken = sorted((s, e) for _, s, e in every)
+                base = found[i]
                 more = []
-                for kind, s, e in reconciled(raw.get(i, []), len(t or "")):
-                    if _holds(kind, t[s:e]) and not any(s < e2 and s2 < e for s2, e2 in taken):
-                        more.append((kind, s, e))
+                for kind, a, b in reconciled(raw.get(i, []), len(t or "")):
+                    for s, e in held_parts(kind, t, a, b):
+                        if not any(s < e2 and s2 < e for _, s2, e2 in base):
+                            more.append((kind, s, e))
                 n = [sum(k == j for k, _, _ in base) for j in range(4)]
                 texts_ = [",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(x)) for x in (base, base + more)]
                 rows.append((doc, *n, hashlib.sha256(texts_[0].encode()).hexdigest(), texts_[1]))

@@ -210,6 +210,30 @@ def test_tagger_gradient_and_learning(spark):
     assert pii.reconciled([(0, 0, 60, 64), (32, 0, 60, 70)], 500) == [(0, 60, 70)]
 
 
+def test_tagger_adds_spans_in_failing_base_matches(spark):
+    r, rows = np.random.default_rng(3), []
+
+    def card():
+        d = "".join(map(str, r.integers(0, 10, 15)))
+        return next(c for i in range(10) if pii._luhn(c := f"{d}{i}"))
+
+    for i in range(150):
+        tags = np.zeros(pii.WINDOW, np.int8)
+        a, b, n = card(), card(), int(r.integers(3, 9))
+        phone, word = f"(0{r.integers(10, 99)}) 555-{r.integers(1000, 9999)}", "abcdefgh"[:n]
+        text, at = (f"{word} {a} {b} {word}", len(a) * 2 + 1) if i % 2 else (f"{word} {phone} {word}", len(phone))
+        tags[n + 1 : n + 1 + at] = 6 if i % 2 else 8
+        tags[n + 1] -= 1
+        rows.append((text, tags))
+    x = np.concatenate([pii._windows(pii.classes(t), np.array([0])) for t, _ in rows])
+    g = pii.Tagger()
+    g.fit(x, np.stack([y for _, y in rows]), steps=300)
+    c = "4465758382889437"
+    texts = [f"abcd {c} {c} abcd", "abcd (076) 555-0137 abcd", "abcd 1234567 abcd"]
+    got = [x["spans"] for x in pii.find_personal_data(docs(spark, texts), tagger=g).orderBy("doc_id").collect()]
+    assert got == ["card:5:21,card:22:38", "phone:5:19", ""]
+
+
 def test_block_max_index_is_exact():
     r = np.random.default_rng(2)
     vectors = []
