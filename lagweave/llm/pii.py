@@ -1,9 +1,10 @@
 """Personal data: base patterns, and spans added by a character-level bidirectional LSTM with a CRF.
 
 The tagger is trained in numpy on windows of documents whose spans the base patterns label. It is run
-over overlapping windows that hold a digit or an at sign: every kind of span has one, so other windows
-cannot hold any. Spans that windows cut off are left to the windows that see them whole; what is decoded
-twice is kept once, from where it has most context. Base spans always stay; the tagger only adds spans
+over overlapping windows about words that hold a digit or an at sign: every kind of span has one, so other
+windows cannot hold any. Tags of overlapping windows are joined, each position's from the window it is most
+central in, so that spans of any length are whole; spans that one window sees whole are taken too, the
+longest of overlapping ones first. Base spans always stay; the tagger only adds spans
 that overlap none of them, and only if they hold what their kind must (a checked number, say). A run of
 words tagged as one that holds it only in parts, such as two cards side by side, is taken apart.
 """
@@ -27,6 +28,7 @@ WINDOW, STRIDE, HIDDEN, STEPS, BATCH = 64, 32, 12, 120, 64
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 _OTHER, _PAD = 15, 16
 N_CLASSES = 17
+_SPACE, _LINE = 10, 13
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -111,9 +113,10 @@ def classes(text: str) -> np.ndarray:
 
 
 def window_starts(cls: np.ndarray) -> np.ndarray:
-    """Starts (multiples of STRIDE) of the windows that hold a digit or an at sign."""
-    anchors = np.flatnonzero((cls == 0) | (cls == 4))
-    last = anchors // STRIDE
+    """Starts (multiples of STRIDE) of the windows that hold a part of a word with a digit or an at sign."""
+    anchors = (cls == 0) | (cls == 4)
+    word = np.cumsum((cls == _SPACE) | (cls == _LINE))  # number of the word of each position; its first is the space before it
+    last = np.flatnonzero(np.isin(word, word[anchors])) // STRIDE
     return np.unique(np.r_[last, np.maximum(last - 1, 0)]) * STRIDE
 
 
@@ -263,6 +266,19 @@ def reconciled(spans: list[tuple[int, int, int, int]], length: int) -> list[tupl
     return sorted(out, key=lambda x: x[1])
 
 
+def joined(starts: np.ndarray, tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of spans in the tags of windows in order, each position's from the window it is most central in."""
+    out, margin = [], (WINDOW - STRIDE) // 2
+    for run in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) != STRIDE) + 1):
+        first, last = starts[run[0]], starts[run[-1]]
+        line = np.zeros(last - first + WINDOW, tags.dtype)
+        for i in run:
+            a = 0 if i == run[0] else margin
+            line[starts[i] - first + a : starts[i] - first + WINDOW] = tags[i, a:]
+        out += [(k, int(first) + s, int(first) + e) for k, s, e in _tag_spans(line)]
+    return out
+
+
 def _holds(kind: int, found: str) -> bool:
     digits = _digits(found)
     if kind == 0:
@@ -351,20 +367,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     windows.append(_windows(cls, starts))
                     where += [(i, int(s)) for s in starts]
             raw: dict[int, list] = {}
+            of_doc: dict[int, list] = {}
             if windows:
                 # Equal windows are decoded once.
                 x, back = np.unique(np.concatenate(windows).astype(np.int8), axis=0, return_inverse=True)
                 tags = np.concatenate([tag.decode(x[j : j + 512]) for j in range(0, len(x), 512)])
                 some = tags.any(axis=1)
                 for (i, s), b in zip(where, back.ravel(), strict=True):
+                    of_doc.setdefault(i, []).append((s, b))
                     if some[b]:
                         raw.setdefault(i, []).extend((s, k, s + p, s + q) for k, p, q in _tag_spans(tags[b]))
             for i, (doc, t) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
                 base = found[i]
                 more = []
-                for kind, a, b in reconciled(raw.get(i, []), len(t or "")):
-                    for s, e in held_parts(kind, t, a, b):
-                        if not any(s < e2 and s2 < e for _, s2, e2 in base):
+                if i in raw:
+                    starts, which = zip(*of_doc[i], strict=True)
+                    tagged = {*reconciled(raw[i], len(t)), *((k, s, min(e, len(t))) for k, s, e in joined(np.array(starts), tags[list(which)]))}
+                    held = {(k, s, e) for k, a, b in tagged for s, e in held_parts(k, t, a, b)}
+                    for kind, s, e in sorted(held, key=lambda x: (x[1] - x[2], x[1], x[0])):
+                        if not any(s < e2 and s2 < e for _, s2, e2 in base + more):
                             more.append((kind, s, e))
                 n = [sum(k == j for k, _, _ in base) for j in range(4)]
                 texts_ = [",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(x)) for x in (base, base + more)]

@@ -234,6 +234,17 @@ def test_tagger_adds_spans_in_failing_base_matches(spark):
     assert got == ["card:5:21,card:22:38", "phone:5:19", ""]
 
 
+def test_windows_of_the_tagger_join(spark):
+    for start, end in ((64, 96), (10, 110), (33, 95), (0, 200)):
+        tags = np.zeros(256, np.int8)
+        tags[start:end] = 2
+        tags[start] = 1
+        starts = np.arange(0, 192 + 1, pii.STRIDE)
+        assert pii.joined(starts, tags[starts[:, None] + np.arange(pii.WINDOW)]) == [(0, start, end)]
+    starts = pii.window_starts(pii.classes("w " * 100 + "é" * 100 + "@b.cd " + "w " * 100))
+    assert starts.min() <= 200 and starts.max() + pii.WINDOW >= 306 and (np.diff(starts) == pii.STRIDE).all()
+
+
 def test_block_max_index_is_exact():
     r = np.random.default_rng(2)
     vectors = []
