@@ -459,7 +459,7 @@ def bundled_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def estimated_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = estimate_parents(_daily(spark, sf_dir).filter("t < 400"), ["x0", "x1", "x2"], 1, ntest=20, max_conds=2)
+    found = estimate_parents(_daily(spark, sf_dir), ["x0", "x1", "x2"], 1)
     return graph.edge_table(spark, found)
 
 

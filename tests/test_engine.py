@@ -126,3 +126,48 @@ def test_network_tests_and_short_series(spark):
 def test_simulators_are_seeded(spark):
     a = simulate.ensemble(spark, "henon", 2, 2, n=50).orderBy("series_id", "t").collect()
     assert a == simulate.ensemble(spark, "henon", 2, 2, n=50).orderBy("series_id", "t").collect() and len(a) == 100
+
+
+def brute_cmi(m, nw, k=5):
+    """Neighbour estimate of the information of columns 0 and 1 given the other nw, by all distances."""
+    d = np.abs(m[:, None] - m[None])
+    r = np.sort(d.max(2), axis=1)[:, k] * (1 - 1e-10)
+    psi = lambda cols: np.mean([info.psi(np.array([n]))[0] for n in (d[:, :, cols].max(2) < r[:, None]).sum(1)])
+    w = list(range(2, 2 + nw))
+    own = info.psi(np.array([k]))[0]
+    return own + psi(w) - psi([0, *w]) - psi([1, *w]) if nw else own + info.psi(np.array([len(m)]))[0] - psi([0]) - psi([1])
+
+
+def brute_parents(values, ntest=100):
+    alive, strength = {v: [(s, -1) for s in range(3)] for v in range(3)}, {}
+    for size in [0, *range(2, 11)]:
+        asked = []
+        for v in range(3):
+            for c in alive[v] if not size or len(alive[v]) > size else []:
+                others = sorted((o for o in alive[v] if o != c), key=lambda o: -strength.get((v, o), 0.0))
+                for trial in range(1 if not size else min(10, len(others) - size + 1)):
+                    asked.append((v, c, others[trial : trial + size]))
+        for i, (v, c, w) in enumerate(asked):
+            m, null = matrix(values, [(v, 0), c, *w]), []
+            got = brute_cmi(m, len(w))
+            for rep in range(1, ntest + 1):
+                x = m.copy()
+                x[:, 0] = np.random.default_rng([1, i, rep]).permutation(x[:, 0])
+                null.append(brute_cmi(x, len(w)))
+            strength[v, c] = min(strength.get((v, c), math.inf), got)
+            if got <= np.percentile(null, 95) and c in alive[v]:
+                alive[v].remove(c)
+    return alive
+
+
+def test_estimated_parents_use_the_whole_series(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(520, 3))
+    x[401:, 1] += 4 * x[400:-1, 0]  # a link that the first 400 rows do not have
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "t long, x0 double, x1 double, x2 double")
+    monkeypatch.setattr(queries, "_daily", lambda *_: df)
+    asked = {}
+    real = queries.estimate_parents
+    monkeypatch.setattr(queries, "estimate_parents", lambda *a, **b: asked.setdefault("found", real(*a, **b)))
+    queries.estimated_parents(spark, "")
+    assert asked["found"] == brute_parents(x) and (0, -1) in asked["found"][1]
