@@ -400,6 +400,18 @@ def network_transfer_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.round("value", 6).alias("te"))
 
 
+@query()
+def network_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _network(spark, sf_dir).correlation_set(2).withColumn("j", F.split("target", ",")[0].cast("int"))
+    return r.select(F.col("source").cast("int").alias("i"), "j", F.col("tau").alias("k"), F.round("value", 6).alias("v"))
+
+
+@query()
+def network_transfer_entropy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _network(spark, sf_dir).te_set().withColumn("j", F.split("target", ",")[0].cast("int"))
+    return r.select(F.col("source").cast("int").alias("i"), "j", F.round("value", 6).alias("te"))
+
+
 TOTAL = N_DAILY + ", p AS MATERIALIZED (SELECT a.t AS id, a.x1 AS y, b.x0 AS p, b.x1 AS q, b.x2 AS r FROM n a JOIN n b ON b.t = a.t - 1)"
 
 

@@ -171,3 +171,16 @@ def test_estimated_parents_use_the_whole_series(spark, monkeypatch):
     monkeypatch.setattr(queries, "estimate_parents", lambda *a, **b: asked.setdefault("found", real(*a, **b)))
     queries.estimated_parents(spark, "")
     assert asked["found"] == brute_parents(x) and (0, -1) in asked["found"][1]
+
+
+def test_network_matrices_hold_all_pairs(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(160, 3))
+    x[1:, 2] += x[:-1, 0]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "t long, x0 double, x1 double, x2 double")
+    monkeypatch.setattr(queries, "_daily", lambda *_: df)
+    te = {(r["i"], r["j"]): r["te"] for r in queries.QUERIES["network_transfer_entropy_matrix"](spark, "").collect()}
+    assert sorted(te) == [(i, j) for i in range(3) for j in range(3) if i != j]
+    assert all(abs(v - brute_cmi(matrix(x, [(j, 0), (i, -1), (j, -1)]), 1)) < 1e-5 for (i, j), v in te.items())
+    corr = {(r["i"], r["j"], r["k"]): r["v"] for r in queries.QUERIES["network_correlation_matrix"](spark, "").collect()}
+    assert len(corr) == 18
+    assert all(abs(v - np.corrcoef(x[k:, j], x[: len(x) - k, i])[0, 1]) < 1e-5 for (i, j, k), v in corr.items())
