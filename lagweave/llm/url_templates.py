@@ -1,9 +1,9 @@
 """URL filter by a path-template tree per host.
 
 Fixed rules decide the urls they fit and label them. For the rest, each host's paths form a tree whose
-frequent segments stay literal and whose variable ones become wildcards. Branches below a host whose
-labels do not differ statistically are merged, and a template is rejected if its share of blocked
-labels, smoothed towards its branch, its host and the same template elsewhere, is above one half.
+frequent segments stay literal and whose variable ones become wildcards. At each level, branches of one
+parent whose labels do not differ statistically are merged, and a template is rejected if its share of
+blocked labels, smoothed towards its branches, its host and the same template elsewhere, is above one half.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: A segment stays literal with so many urls, and such a share of the urls, at its place.
-MIN_SUPPORT, MIN_SHARE = 10, 0.05
+#: A segment stays literal with so many urls at its place.
+MIN_SUPPORT = 10
 #: Segments that the tree looks at; what is deeper is one `**`.
 MAX_DEPTH = 6
 #: Strength of smoothing, in labels; z value up to which neighbouring branches count as alike.
@@ -55,9 +55,7 @@ def templates(urls: DataFrame) -> DataFrame:
     for d in range(depth):
         seg = F.get("segments", F.lit(d))
         counts = rows.filter(F.size("segments") > d).groupBy("host", "template", seg.alias("segment")).agg(F.count("*").alias("n"))
-        totals = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        frequent = counts.filter(F.col("n") >= MIN_SUPPORT).join(totals, ["host", "template"]).filter(F.col("n") >= MIN_SHARE * F.col("total"))
-        literal = pin(frequent.select("host", "template", "segment", "n"), "literal")
+        literal = pin(counts.filter(F.col("n") >= MIN_SUPPORT), "literal")
         marked = lookup_join(rows.withColumn("segment", seg), literal, ["host", "template", "segment"], weight="n")
         step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("n").isNull(), "*").otherwise(F.col("segment"))))
         rows = pin(marked.withColumn("template", F.concat("template", step)).drop("segment", "n"), "urls")
@@ -75,25 +73,34 @@ def judged_templates(labelled: DataFrame) -> DataFrame:
         return (F.col(bad) + SMOOTHING * towards) / (F.col(seen) + SMOOTHING)
 
     elsewhere = stats.groupBy("template").agg(F.sum("bad").alias("t_bad"), F.sum("seen").alias("t_seen")).withColumn("t_purity", smooth("t_bad", "t_seen", prior))
-    # Branches of a host: by their first segment, at most 1 / MIN_SHARE literal ones. In order of purity, a
-    # branch joins the one before it unless their shares differ by more than chance.
-    first = F.concat(F.lit("/"), F.element_at(F.split("template", "/"), 2))
-    branch = stats.withColumn("first", F.coalesce(F.when(F.col("template") != "", first), F.lit("")))
-    branches = branch.groupBy("host", "first").agg(F.sum("bad").alias("b"), F.sum("seen").alias("s"))
-    by = Window.partitionBy("host").orderBy((F.col("b") / F.greatest("s", F.lit(1))), "first")
-    pb, ps = F.lag("b").over(by), F.lag("s").over(by)
-    pooled = (F.col("b") + F.col("pb") + 1) / (F.col("s") + F.col("ps") + 2)
-    z = F.abs(F.col("b") / F.greatest("s", F.lit(1)) - F.col("pb") / F.greatest("ps", F.lit(1))) / F.sqrt(
-        pooled * (1 - pooled) * (1 / F.greatest("s", F.lit(1)) + 1 / F.greatest("ps", F.lit(1)))
-    )
-    starts = F.when(F.col("pb").isNull() | ((z > SIMILAR_Z) & (F.col("s") > 0) & (F.col("ps") > 0)), 1).otherwise(0)
-    merged = branches.withColumns({"pb": pb, "ps": ps}).withColumn("starts", starts).withColumn("branch", F.sum("starts").over(by)).select("host", "first", "branch")
-    tree = branch.join(merged, ["host", "first"])
-    pooled_branch = tree.groupBy("host", "branch").agg(F.sum("bad").alias("g_bad"), F.sum("seen").alias("g_seen"))
     hosts = stats.groupBy("host").agg(F.sum("bad").alias("h_bad"), F.sum("seen").alias("h_seen"))
-    out = tree.join(pooled_branch, ["host", "branch"]).join(hosts, "host").join(elsewhere, "template")
-    purity = smooth("bad", "seen", smooth("g_bad", "g_seen", smooth("h_bad", "h_seen", F.col("t_purity"))))
-    return pin(out.select("host", "template", "n", "branch", purity.alias("purity")), "judged")
+    tree = stats.join(hosts, "host").join(elsewhere, "template").withColumn("group", F.lit("")).withColumn("g_seen", F.lit(-1).cast("long"))
+    tree = tree.withColumn("parts", F.split("template", "/")).withColumn("towards", smooth("h_bad", "h_seen", F.col("t_purity")))
+    tree = pin(tree.select("host", "template", "n", "seen", "bad", "parts", "group", "g_seen", "towards"), "tree")
+    for d in range(1, max(2, tree.agg(F.max(F.size("parts"))).first()[0] or 0)):
+        # Branches of a group: by their next segment, those of one share of blocked labels as one. In order of that share,
+        # a branch joins the one before it unless they differ by more than chance; branches without labels stay apart.
+        step = tree.withColumn("segment", F.coalesce(F.get("parts", F.lit(d)), F.lit("")))
+        branches = step.groupBy("host", "group", "segment").agg(F.sum("bad").alias("b"), F.sum("seen").alias("s"))
+        branches = branches.withColumn("share", F.when(F.col("s") > 0, F.col("b") / F.col("s")).otherwise(-1.0))
+        alike = branches.groupBy("host", "group", "share").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
+        by = Window.partitionBy("host", "group").orderBy("share")
+        alike = alike.withColumns({"p_share": F.lag("share").over(by), "pb": F.lag("b").over(by), "ps": F.lag("s").over(by)})
+        pooled = (F.col("b") + F.col("pb") + 1) / (F.col("s") + F.col("ps") + 2)
+        z = (F.col("share") - F.col("p_share")) / F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("s", F.lit(1)) + 1 / F.greatest("ps", F.lit(1))))
+        starts = F.when(F.col("pb").isNull() | (F.col("ps") == 0) | (z > SIMILAR_Z), 1).otherwise(0)
+        alike = alike.withColumn("starts", starts).withColumn("branch", F.sum("starts").over(by))
+        merged = Window.partitionBy("host", "group", "branch")
+        alike = alike.withColumns({"m_bad": F.sum("b").over(merged), "m_seen": F.sum("s").over(merged)})
+        found = branches.select("host", "group", "segment", "share").join(alike.select("host", "group", "share", "branch", "m_bad", "m_seen"), ["host", "group", "share"])
+        step = step.join(found.drop("share"), ["host", "group", "segment"])
+        # The same labels are not counted for two levels, nor for the deepest and the template itself.
+        again = F.lit(d > 1) & ((F.col("m_seen") == F.col("g_seen")) | (F.col("m_seen") == F.col("seen")))
+        towards = F.when(again, F.col("towards")).otherwise(smooth("m_bad", "m_seen", F.col("towards")))
+        step = step.withColumn("towards", towards).withColumn("group", F.concat_ws("/", "group", F.col("branch").cast("string")))
+        tree = pin(step.select("host", "template", "n", "seen", "bad", "parts", "group", F.col("m_seen").alias("g_seen"), "towards"), "tree")
+    branch = F.split("group", "/")[1].cast("long")
+    return pin(tree.select("host", "template", "n", branch.alias("branch"), smooth("bad", "seen", F.col("towards")).alias("purity")), "judged")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:

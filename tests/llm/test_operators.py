@@ -179,6 +179,18 @@ def test_url_rules_and_templates(spark):
     assert url_templates.filter_urls(d.limit(0)).count() == 0
 
 
+def test_url_branches_of_a_large_host(spark):
+    urls = [f"http://big.net/{'de' if i % 30 == 0 else f'b{i % 30}'}/{i}" for i in range(600)]  # 3% of the urls are below /de/
+    urls += [f"http://h{i % 5}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(400)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_templates.filter_urls(d).collect()}
+    assert {(got[i]["template"], got[i]["verdict"]) for i in range(0, 600, 30)} == {("/de/*", "block")}
+    rows = [("h", "/a/p/*", 1)] * 10 + [("h", "/a/q/*", 0)] * 10 + [("h", "/a/p/x", 0), ("h", "/a/q/y", 1), ("h", "/b/c", None)]
+    judged = {r["template"]: r for r in url_templates.judged_templates(spark.createDataFrame(rows, "host string, template string, label int")).collect()}
+    assert judged["/a/p/*"]["purity"] > 0.8 > 0.5 > judged["/a/q/y"]["purity"] and judged["/a/p/x"]["purity"] > 0.5
+    assert len(judged) == 5 and judged["/a/q/*"]["purity"] < 0.2
+
+
 def test_base_spans_brute_force():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
