@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their pieces of four and five letters, hashed. The terms most associated with the
-label on the training rows make the vocabulary; their document counts over all documents give the IDF.
+Terms are words and their pieces of four and five letters, hashed. The terms most associated with label 1
+on the training rows make the vocabulary, so the cosine is that of these terms and not of whole texts;
+their document counts over all documents give the IDF.
 Labelled examples are indexed in blocks of ids, each block with the largest weight of every term in
 it; a query visits blocks in order of the bound these give and stops when no block can still hold a
 nearer example, so its neighbours are exact. Votes are weighted by similarity and calibrated on the
@@ -21,7 +22,7 @@ from lagweave.llm.common import pin, table
 
 #: Labelled rows that the classifier is fitted on, at most (drawn by a hash of the id), and its vocabulary.
 EXAMPLES, TERMS = 20_000, 1500
-#: Hashed terms; neighbours; ids in a block; least number of examples that carry a term; bins of calibration.
+#: Hashed terms; neighbours; ids in a block; number of examples that must carry a term, at most; bins of calibration.
 SPACE, NEIGHBOURS, BLOCK, LEAST, BINS = 1 << 22, 15, 128, 8, 20
 #: Words whose terms, and vectors whose votes, a worker remembers at most.
 CACHED_WORDS, CACHED_VOTES = 300_000, 50_000
@@ -210,9 +211,10 @@ def toxicity(
     a, b = F.col("a"), F.col("b")
     rate = F.lit((n1 + 0.5) / (n0 + n1 + 1))
     expected = (a + b) * rate
-    # Signed chi-square of a term with the label; terms of either label, the toxic ones first.
+    # Signed chi-square of a term with the label; only terms that lean to label 1 are kept. Few toxic examples ask for less support.
     chi = (b - expected) * F.abs(b - expected) / F.greatest(expected, F.lit(1e-9))
-    chosen = counts.filter((a + b) >= LEAST).withColumn("chi", chi).filter("chi > 0").orderBy(F.col("chi").desc(), "term").limit(terms).collect()
+    least = min(LEAST, max(2, round(n1 / 20)))
+    chosen = counts.filter((a + b) >= least).withColumn("chi", chi).filter("chi > 0").orderBy(F.col("chi").desc(), "term").limit(terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
     shared = spark.sparkContext.broadcast(vocabulary)
 

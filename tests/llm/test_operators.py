@@ -285,6 +285,14 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.toxicity(docs(spark, texts), labels.limit(0)).count() == 302
 
 
+def test_toxicity_of_few_examples(spark):
+    bad = ["vilewordish", "nastythingy"]
+    texts = [f"{BASE} {bad[i // 6 % 2] if i % 6 == 0 else 'fine'} t{i}" for i in range(72)]  # each word in 6 texts
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(72)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs(spark, texts), labels).collect()}
+    assert [got[i]["predicted"] for i in range(72)] == [int(i % 6 == 0) for i in range(72)]
+
+
 def test_patience_and_licenses(spark):
     a, b = "a b c x d e".split(), "a b q c d f e".split()
     got = licenses.patience(a, b)
