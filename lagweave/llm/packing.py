@@ -24,6 +24,7 @@ WINDOW, OPEN_WINDOWS = 2048, 64
 FAN_IN = 32
 #: Words of which a worker remembers the ids at most.
 CACHED_WORDS = 400_000
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,6 +69,8 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
+        if any([c in text for c in _SEPARATORS]):  # str.split() cuts at these and drops them, the tokenizer has ids for them
+            return self._whole(text)
         words, known = text.split(), self.known
         try:
             return b"".join([known[w] for w in words])

@@ -150,6 +150,15 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_word_ids_keep_separators():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    for t in ("hello\x1cworld a\x1c b.", "\x1d", "a\x1e b\x1fc", "hello world."):
+        assert np.frombuffer(ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_open_windows_place_best_fit():
     w = packing.OpenWindows(10, 2)
     assert w.add(6, "a") == [] and w.add(7, "b") == [] and w.add(3, "c") == [["b", "c"]]
