@@ -103,6 +103,27 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [400, 1 << 21])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
+    """Copies around the threshold: one group of several components, compared in blocks."""
+    monkeypatch.setattr(ngram_join, "GROUP", 50)
+    monkeypatch.setattr(ngram_join, "SMALL", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    r = np.random.default_rng(11)
+    texts = []
+    for g in range(2):
+        words = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(100):
+            w = list(words)
+            for p in r.integers(0, 100, r.integers(1, 9)):
+                w[p] = f"e{r.integers(1 << 30)}"
+            texts.append(" ".join(w))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(docs(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) > 20
+
+
 def test_components_of_many_edges(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90)], "x long, y long")
     want = {i: 0 for i in range(1, 31)} | {100: 90}
