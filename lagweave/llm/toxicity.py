@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lagweave.llm.common import pin, table
 
 #: Labelled rows that the classifier is fitted on, at most (drawn by a hash of the id), and its vocabulary.
-EXAMPLES, TERMS = 20_000, 1500
+EXAMPLES, TERMS = 4000, 1500
 #: Hashed terms; neighbours; ids in a block; number of examples that must carry a term, at most; bins of calibration.
 SPACE, NEIGHBOURS, BLOCK, LEAST, BINS = 1 << 22, 15, 128, 8, 20
 #: Words whose terms, and vectors whose votes, a worker remembers at most.
@@ -86,40 +86,51 @@ class BlockMaxIndex:
     """Exact nearest neighbours by cosine among unit vectors (terms, weights)."""
 
     def __init__(self, vectors: list, n_terms: int, block: int = BLOCK):
-        self.size, self.block = len(vectors), block
-        self.n_blocks = -(-self.size // block)
-        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
-        postings: list[list] = [[] for _ in range(self.n_blocks)]
-        for i, (terms, weights) in enumerate(vectors):
-            b = i // block
-            self.most[terms, b] = np.maximum(self.most[terms, b], np.nextafter(weights.astype(np.float32), np.float32(np.inf)))
-            postings[b] += [(int(t), i % block, float(w)) for t, w in zip(terms, weights, strict=True)]
-        self.blocks = []
-        for p in postings:
-            p.sort()
-            term, row, weight = (np.array(x) for x in zip(*p, strict=True)) if p else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            self.blocks.append((term, row, weight))
+        self.size, self.block, self.n_terms = len(vectors), block, n_terms
+        n_blocks = -(-self.size // block)
+        row = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        term = np.concatenate([np.asarray(t, np.int64) for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([np.asarray(w, float) for _, w in vectors]) if vectors else np.empty(0)
+        self.most = np.zeros((n_terms, n_blocks), np.float32)
+        np.maximum.at(self.most, (term, row // block), np.nextafter(weight.astype(np.float32), np.float32(np.inf)))
+        # Postings by block, then term; starts[block * n_terms + term] is where a list begins.
+        place = row // block * n_terms + term
+        order = np.argsort(place, kind="stable")
+        self.row, self.weight = row[order], weight[order]
+        self.starts = np.searchsorted(place[order], np.arange(n_blocks * n_terms + 1))
+
+    def _similarities(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of blocks (ascending) that share a term with the query, and their similarities."""
+        lists = (blocks[:, None] * self.n_terms + terms[None, :]).ravel()
+        first = self.starts[lists]
+        length = self.starts[lists + 1] - first
+        total = int(length.sum())
+        at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(total)
+        slot = np.searchsorted(blocks, self.row[at] // self.block) * self.block + self.row[at] % self.block
+        got = np.bincount(slot, weights=np.repeat(np.tile(weights, len(blocks)), length) * self.weight[at], minlength=len(blocks) * self.block)
+        hit = np.flatnonzero(got > 0)
+        return blocks[hit // self.block] * self.block + hit % self.block, got[hit]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and similarities of the k nearest of similarity above 0, ties by number."""
         if not len(terms) or not self.size:
             return np.empty(0, np.int64), np.empty(0)
         bounds = weights @ self.most[terms]
-        full = np.zeros(self.most.shape[0])
-        full[terms] = weights
-        ids, sims, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(ids) >= k and bounds[b] < worst - 1e-6):
-                break
-            term, row, weight = self.blocks[b]
-            got = np.bincount(row, weights=full[term] * weight, minlength=self.block)
-            hit = np.flatnonzero(got > 0)
-            hit = hit[hit + b * self.block != without]
-            if len(ids) >= k:  # what is below the k-th by more than rounding cannot enter
-                hit = hit[got[hit] > worst - 1e-6]
-            if not len(hit):
-                continue
-            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, got[hit]])
+        visits = np.argsort(-bounds, kind="stable")
+        visits = visits[bounds[visits] > 0]
+        ids, sims, worst, at, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 2
+        while at < len(visits):
+            now = visits[at : at + step]
+            if len(ids) >= k:  # a block or vector below the k-th by more than rounding cannot enter
+                now = now[bounds[now] >= worst - 1e-6]
+                if not len(now):
+                    break
+            at, step = at + step, 2 * step
+            found, got = self._similarities(np.sort(now), terms, weights)
+            keep = found != without
+            if len(ids) >= k:
+                keep &= got > worst - 1e-6
+            ids, sims = np.concatenate([ids, found[keep]]), np.concatenate([sims, got[keep]])
             if len(ids) > k:
                 best = np.lexsort((ids, -np.round(sims, 9)))[:k]
                 ids, sims = ids[best], sims[best]
@@ -135,12 +146,14 @@ def _alike_together(vectors: list) -> list[int]:
 
 
 class _Searcher:
-    """Searches of an index, where a vector seen before is not searched again."""
+    """Searches of an index, where a vector seen before is not searched again (but for an example's, which leaves itself out)."""
 
     def __init__(self, index: BlockMaxIndex, k: int):
         self.index, self.k, self.known = index, k, {}
 
-    def __call__(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if without >= 0:
+            return self.index.search(terms, weights, self.k, without)
         key = terms.tobytes() + weights.tobytes()
         got = self.known.get(key)
         if got is None:
@@ -183,8 +196,9 @@ def toxicity(
 
     Only labels of rows whose id is not held out are learnt from, of at most `examples` of them. Null and
     empty texts, and texts without a term of the vocabulary, score the rate of label 1 among such examples.
-    Rows with one id are scored each for itself; a null id is not held out. Without labels all scores are 0;
-    an empty table gives an empty result. Other columns are not read.
+    An example is scored without itself among the neighbours. Rows with one id are scored each for itself and
+    are one example; a null id is not held out. Ids are integers. Without labels all scores are 0; an empty
+    table gives an empty result. Other columns are not read.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -229,13 +243,22 @@ def toxicity(
 
     # Each whole text is gone through once; counts, examples and scores are taken from these short lists.
     found = pin(docs.mapInArrow(extract, "doc long, terms array<int>, counts array<int>"), "features")
-    df = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # at most `terms` rows
+
+    def frequencies(batches):
+        n = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(n))
+        hit = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(n[hit], pa.int64())], names=["term", "n"])
+
+    df = found.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most `terms` rows
     seen = {r["term"]: r["n"] for r in df}
     idf = np.log((1 + found.count()) / (1 + np.array([seen.get(i, 0) for i in range(len(vocabulary))], float))) + 1 if vocabulary else np.zeros(0)
 
-    got = found.join(chosen_docs, F.col("doc") == F.col("_doc")).select("doc", (F.col("y") != 0).cast("int").alias("y"), "terms", "counts")
-    got = got.orderBy("doc", "terms", "counts").collect()  # at most `examples` documents' short lists
-    empty = [r["y"] for r in got if not r["terms"]]
+    # Of rows with one id the example is the first by its terms: at most `examples` documents' short lists.
+    got = found.join(chosen_docs, F.col("doc") == F.col("_doc")).groupBy("doc", (F.col("y") != 0).cast("int").alias("y"))
+    got = got.agg(F.min(F.struct("terms", "counts")).alias("v")).select("doc", "y", "v.*").orderBy("doc").collect()
+    empty = {r["doc"]: r["y"] for r in got if not r["terms"]}
     got = [r for r in got if r["terms"]]
     unit = [_vector(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), idf) for r in got]
     order = _alike_together(unit)
@@ -257,24 +280,29 @@ def toxicity(
     votes = np.array([r["vote"] for r in sorted(own, key=lambda r: r["i"])], float)
     scored = votes >= 0
     xs, ys = _calibrate(votes[scored], y[scored]) if scored.any() else (np.array([0.0]), np.array([0.0]))
-    blank = (sum(empty) + 0.05) / (len(empty) + 1) if got or empty else 0.0
-    model = spark.sparkContext.broadcast((index, y, base, xs, ys, blank, [r["doc"] for r in got]))
+    model = spark.sparkContext.broadcast((index, y, base, xs, ys, empty, [r["doc"] for r in got]))
 
     def score(batches):
-        index, y, base, xs, ys, blank, ids = model.value
-        nearest = _Searcher(index, NEIGHBOURS)
+        index, y, base, xs, ys, empty, ids = model.value
+        nearest, number = _Searcher(index, NEIGHBOURS), {doc: i for i, doc in enumerate(ids)}
+        n, n_toxic = len(empty), sum(empty.values())
         for batch in batches:
             scores, evidence = [], []
-            for terms_, counts_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, terms_, counts_ in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
                 terms_, weights = _vector(np.array(terms_, np.int64), np.array(counts_, np.int64), idf)
-                near, sims = nearest(terms_, weights)
+                near, sims = nearest(terms_, weights, number.get(doc, -1))
                 vote = _vote(near, sims, y, base)
+                # An example's own label is not an input of its score.
+                own = doc in empty
+                blank = (n_toxic - empty.get(doc, 0) + 0.05) / (n - own + 1) if ids or empty else 0.0
                 # Calibrated, and by a thousandth still in the order of the votes.
                 scores.append(blank if vote < 0 else min(1.0, max(0.0, 0.999 * float(np.interp(vote, xs, ys)) + 0.001 * vote)))
                 evidence.append([ids[i] for i in near[:3]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc", "score", "evidence"])
 
-    out = found.mapInArrow(score, "doc long, score double, evidence array<long>")
+    # The pinned lists are few and short files; searches want more tasks than these.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = found.repartition(parts, F.xxhash64("doc", "terms")).mapInArrow(score, "doc long, score double, evidence array<long>")
     return out.select(
         F.col("doc").alias(id_col), F.coalesce(held_out(F.col("doc")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )

@@ -315,6 +315,76 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.toxicity(docs(spark, texts), labels.limit(0)).count() == 302
 
 
+def dense_toxicity(texts, toxic):
+    """Scores by plain loops: every similarity is computed, nothing is indexed. toxic: label by id."""
+    learn = [i for i in toxic if zlib.crc32(str(i).encode()) % 5]
+    bags = []
+    for t in texts:
+        bag = {}
+        for w in toxicity._words(t):
+            for term in set(toxicity._terms(w)):
+                bag[term] = bag.get(term, 0) + 1
+        bags.append(bag)
+    n1 = sum(toxic[i] for i in learn)
+    rate, least = (n1 + 0.5) / (len(learn) + 1), min(toxicity.LEAST, max(2, round(n1 / 20)))
+    chi = {}
+    for term in {t for i in learn for t in bags[i]}:
+        have = [i for i in learn if term in bags[i]]
+        over = sum(toxic[i] for i in have) - len(have) * rate
+        if len(have) >= least and over > 0:
+            chi[term] = over * over / (len(have) * rate)
+    vocabulary = sorted(chi, key=lambda t: (-chi[t], t))[: toxicity.TERMS]
+    idf = {t: np.log((1 + len(texts)) / (1 + sum(t in b for b in bags))) + 1 for t in vocabulary}
+    x = np.array([[(1 + np.log(b[t])) * idf[t] if t in b else 0.0 for t in vocabulary] for b in bags])
+    norm = np.sqrt((x**2).sum(1, keepdims=True))
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    known, blank = [i for i in learn if x[i].any()], [i for i in learn if not x[i].any()]
+    base = np.mean([toxic[i] for i in known])
+
+    def vote(i):
+        others = [j for j in known if j != i and x[i] @ x[j] > 0]
+        near = sorted(others, key=lambda j: -round(x[i] @ x[j], 9))[: toxicity.NEIGHBOURS]
+        w = np.array([(x[i] @ x[j]) ** 2 for j in near])
+        return (w @ [toxic[j] for j in near] + 0.05 * base) / (w.sum() + 0.05) if near else None, w
+
+    own = sorted((v, toxic[i]) for i in known if (v := vote(i)[0]) is not None)
+    return vote, own, blank
+
+
+def test_toxicity_against_dense_search(spark):
+    r = np.random.default_rng(5)
+    texts = []
+    for i in range(160):
+        words = [f"plain{r.integers(60)}" for _ in range(25)] + ([f"nasty{r.integers(9)}slur" for _ in range(r.integers(1, 4))] if i % 4 == 0 or i % 31 == 0 else [])
+        texts.append(" ".join(words))
+    texts += ["", "zz"]
+    toxic = {i: int(i % 4 == 0) for i in range(162)}
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs(spark, texts), labels).collect()}
+    vote, own, blank = dense_toxicity(texts, toxic)
+    xs, ys = toxicity._calibrate(np.array([v for v, _ in own]), np.array([y for _, y in own], float))
+    for i in range(162):
+        v = vote(i)[0]
+        if v is None:
+            rest = [toxic[j] for j in blank if j != i]
+            assert got[i]["score"] == pytest.approx((sum(rest) + 0.05) / (len(rest) + 1))
+        else:
+            assert got[i]["score"] == pytest.approx(min(1, max(0, 0.999 * np.interp(v, xs, ys) + 0.001 * v)), abs=1e-6), i
+
+
+def test_toxicity_leaves_out_an_examples_own_label(spark):
+    texts = [f"common words here nasty{'awful' if i % 3 == 0 else 'fine'}thing number{i % 7}" for i in range(90)]
+    rows = [(i, 1, int(i % 3 == 0)) for i in range(90)]
+    one = next(i for i in range(90) if zlib.crc32(str(i).encode()) % 5)
+    scores = []
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, q, y if i == one else t) for i, q, t in rows], "doc_id long, quality int, toxic int")
+        got = {x["doc_id"]: x for x in toxicity.toxicity(docs(spark, texts), labels).collect()}
+        assert one not in got[one]["evidence"]
+        scores.append(got[one]["score"])
+    assert abs(scores[0] - scores[1]) < 0.2
+
+
 def test_toxicity_of_few_examples(spark):
     bad = ["vilewordish", "nastythingy"]
     texts = [f"{BASE} {bad[i // 6 % 2] if i % 6 == 0 else 'fine'} t{i}" for i in range(72)]  # each word in 6 texts
