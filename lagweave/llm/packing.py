@@ -48,7 +48,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, word: str) -> bytes:
-        if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
+        if word[-1] in ".," and len(word) > 1 and word.isascii() and word[-2].isalpha():
             got = self._letters(word[:-1]) + self._letters(word[-1])
         else:
             got = self._letters(word)
