@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WS = "[ \\t-\\r]+"
 #: A lookup table of at most this many (narrow) rows is broadcast; above, see lookup_join.
 BROADCAST_ROWS = 100_000
+#: Its Parquet may hold so many bytes besides.
+BROADCAST_BYTES = 16 << 20
 #: Heaviest keys that lookup_join and name_keys treat apart from the rest.
 HEAVY_KEYS = 512
 
@@ -20,10 +22,12 @@ _fallback_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one if unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _fallback_dir:
         _fallback_dir.append("file://" + tempfile.mkdtemp(prefix="lagweave-"))
     return _fallback_dir[0]
@@ -42,14 +46,27 @@ def pin(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def _hadoop_path(df: DataFrame):
+    """The file system and path of what pin() wrote."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._pinned_path)
+    return p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df may be broadcast: few rows and, where it is known, few bytes."""
+    if getattr(df, "_pinned_path", None):
+        fs, p = _hadoop_path(df)
+        if fs.getContentSummary(p).getLength() > BROADCAST_BYTES:
+            return False
+    return df.count() <= rows
+
+
 def unpin(*frames: DataFrame) -> None:
     """Delete what pin() wrote, once nothing reads it any more."""
     for df in frames:
-        path = getattr(df, "_pinned_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        if getattr(df, "_pinned_path", None):
+            fs, p = _hadoop_path(df)
+            fs.delete(p, True)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -66,7 +83,7 @@ def lookup_join(
 ) -> DataFrame:
     """left ⋈ table, where table is pinned and has one row per key (null keys match null keys).
 
-    A table within `bound` rows is broadcast. Above, its HEAVY_KEYS heaviest keys (by `weight`) are
+    A table within `bound` rows and BROADCAST_BYTES is broadcast. Above, its HEAVY_KEYS heaviest keys (by `weight`) are
     broadcast and the rows of left that match none of them are shuffled to the rest of the table, so
     no hot key of left is ever gathered in one task. how: left, inner, left_semi or left_anti.
     """
@@ -76,7 +93,7 @@ def lookup_join(
         cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
         return a.join(renamed, cond, kind).drop(*[f"_k_{k}" for k in keys])
 
-    if table.count() <= bound:
+    if is_small(table, bound):
         return joined(left, F.broadcast(table), how)
     if weight is None:
         return joined(left, table, how)

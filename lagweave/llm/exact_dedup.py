@@ -117,13 +117,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.regexp_replace(text_or_empty(text_col), WS, " "), 256)
-    both = docs.withColumn("_sha1", sha)
-    joined = both.join(kept, both[id_col].eqNullSafe(kept["_id"]) & (both["_sha1"] == kept["_sha"]))
-    one = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
-    return joined.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
+    """The rows of docs that exact_dedup keeps, with all their columns, which may have any names.
+
+    Null counts as empty, and empty texts are equal to each other; null ids come last. Of rows that have one id and
+    equal texts the one with the smallest text stays, ties by a hash of the row. An empty table gives an empty result.
+    """
+    found = pin(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept"), "found")
+    kept = found.groupBy("id", "sha").agg((F.count("*") > 1).alias("several"), F.max("kept").alias("kept")).filter("kept").select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"), "several")
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.regexp_replace(text_or_empty(text_col), WS, " "), 256).alias("sha"), F.struct("*").alias("row"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("id", "sha", "several", "row")
+    first = F.min_by("row", F.struct(F.col("row").getField(text_col), F.xxhash64("row")))
+    repeated = joined.filter("several").groupBy("id", "sha").agg(first.alias("row"))
+    return joined.filter("NOT several").select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

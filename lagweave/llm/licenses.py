@@ -2,7 +2,7 @@
 
 A region of a text is aligned with a template on words that are unique to both; the longest increasing
 run of those anchors stays, and the gaps between anchors are aligned in the same way, down to gaps
-without anchors, which are matched from both ends. The share of the template's words that are aligned
+without anchors, whose longest common subsequence is taken. The share of the template's words that are aligned
 is its coverage. Regions are the stretches of a text that hold enough of a template's words at all, so
 no text is too long, and notices that occur several times are each found.
 """
@@ -10,6 +10,7 @@ no text is too long, and notices that occur several times are each found.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 
@@ -46,6 +47,47 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "GPL-2.0-or-later-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "GPL-3.0-or-later-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 "
+        "Universal Public Domain Dedication."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -53,12 +95,10 @@ TEMPLATES = {
 #: Share of a template's words that must be aligned; a region spans at most so many times the template's words.
 COVERAGE, SPREAD = 0.8, 1.6
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Cells of a gap without anchors up to which its longest common subsequence is computed.
-_CELLS = 4096
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -82,21 +122,11 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Longest common subsequence of two short lists."""
-    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            rows[i][j] = rows[i + 1][j + 1] + 1 if a[i] == b[j] else max(rows[i + 1][j], rows[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """Longest common subsequence: the longest rising run of the places where the lists agree, each a's from the last."""
+    at: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        at.setdefault(b[j], []).append(j)
+    return _increasing([(i, j) for i, w in enumerate(a) for j in at.get(w, ())])
 
 
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -116,8 +146,7 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         at_b = {w: j for j, w in enumerate(b[b0:b1], b0) if cb[w] == 1}
         anchors = _increasing([(i, at_b[w]) for i, w in enumerate(a[a0:a1], a0) if ca[w] == 1 and w in at_b])
         if not anchors:
-            if (a1 - a0) * (b1 - b0) <= _CELLS:
-                out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
+            out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
             continue
         out += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -159,9 +188,11 @@ def scan_text(text: str, templates: dict[str, list[str]], coverage: float = COVE
                 end = min(a1, a0 + int(spread * len(template)) + 1)
                 aligned = patience(words[a0:end], template)
                 if len(aligned) < coverage * len(template):
-                    a0 += 1
+                    # No alignment is longer than the longest common subsequence, which gains at most one word a step.
+                    missing = coverage * len(template) - len(_common(words[a0:end], template))
+                    a0 += max(1, math.ceil(missing))
                     continue
-                at = at or [m.span() for m in _WORD.finditer(text.lower())]
+                at = at or [m.span() for m in _WORD.finditer(text)]
                 out.append((name, len(aligned) / len(template), at[a0 + aligned[0][0]][0], at[a0 + aligned[-1][0]][1], len(aligned)))
                 a0 += aligned[-1][0] + 1
     return out
@@ -171,8 +202,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per notice found: id_col, license, coverage, start, end, words, in whole texts.
 
     Null and empty texts, and an empty table, give no rows; repeated rows give repeated rows. A text that
-    fits several templates has a row for each. Offsets are those of the lower-cased text, which has as many
-    code points but for a few letters whose lower case is longer. Other columns are not read.
+    fits several templates has a row for each. Ids are integers. Other columns are not read.
     """
     known = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
 

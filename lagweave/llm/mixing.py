@@ -166,12 +166,17 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row repeated as many times as the mix takes it."""
+    """docs with each row repeated as many times as the mix takes it; columns may have any names.
+
+    Rows without words are not taken, null sources are one source. Rows with one id, source and size are taken as
+    often as the one taken most. Reruns agree; an empty table gives an empty result.
+    """
     taken = mix(docs, id_col, text_col, source_col).filter("copies > 0")
-    taken = taken.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies"))
-    on = docs[id_col].eqNullSafe(F.col("_i")) & docs[source_col].eqNullSafe(F.col("_s")) & (word_count(docs[text_col]) == F.col("_n"))
-    out = docs.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+    taken = taken.groupBy(F.col(id_col).alias("t_id"), F.col(source_col).alias("t_source"), F.col("size").alias("t_size")).agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.struct("*").alias("row"))
+    on = F.col("id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size"))
+    out = rows.join(taken, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    return out.select("row.*")
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

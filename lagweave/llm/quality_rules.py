@@ -126,7 +126,9 @@ def quality_rules(
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their columns, boilerplate lines removed from the text.
 
-    n_chars, if docs has it, follows the new text. Removed lines take their line break along.
+    n_chars, if docs has it, follows the new text. Removed lines take their line break along. Null hosts form
+    one host of their own; null and empty texts fail; rows repeated as a whole share their verdict and are all
+    kept or all removed; an empty table gives an empty result. Other columns may have any names.
     """
     lines = line_table(docs, id_col, host_col, text_col)
     common = boilerplate(lines, limit)
@@ -135,11 +137,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("_gone"),
     )
     losses = pin(marked.filter("_share > 0"), "losses")
-    if {"id", "host", "text_hash"} & set(docs.columns):
-        raise ValueError("docs must not have columns named id, host or text_hash")
-    keyed = docs.withColumns({"id": F.col(id_col), "host": F.col(host_col), "text_hash": hashed(F.col(text_col))})
+    # The columns of docs go through as one, so that their names cannot clash.
+    own = F.col("row").getField(text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), hashed(F.col(text_col)).alias("text_hash"), F.struct("*").alias("row"))
     # Pinned before anything filters by it: a filter pushed below would evaluate the metrics' arrays within their own lambdas.
-    failed = pin(base_metrics(keyed.select("id", "host", "text_hash", F.col(text_col).alias("_text")), "_text").select("id", "host", "text_hash", "base_failed"), "failed")
+    failed = pin(base_metrics(keyed.select("id", "host", "text_hash", own.alias("_text")), "_text").select("id", "host", "text_hash", "base_failed"), "failed")
     failed = failed.filter("base_failed").select("id", "host", "text_hash").distinct().withColumn("_failed", F.lit(True))
     on = [failed[c].eqNullSafe(losses[c]) for c in ("id", "host", "text_hash")]
     both = failed.join(losses, on, "full").select(
@@ -147,12 +149,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         (F.coalesce("_failed", F.lit(False)) | (F.coalesce("_share", F.lit(0.0)) >= depleted)).alias("_drop"),
     )
     kept = lookup_join(keyed, pin(both, "verdicts"), ["id", "host", "text_hash"]).filter(~F.coalesce("_drop", F.lit(False)))
-    stays = F.filter(F.split(text_or_empty(text_col), "\n", -1), lambda x: ~F.array_contains("_gone", hashed(_normal_line(x))))
-    text = F.when(F.col("_share").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text_col))
-    out = kept.withColumn(text_col, text)
+    stays = F.filter(F.split(F.coalesce(own, F.lit("")), "\n", -1), lambda x: ~F.array_contains("_gone", hashed(_normal_line(x))))
+    text = F.when(F.col("_share").isNotNull(), F.array_join(stays, "\n")).otherwise(own)
+    out = kept.select(F.col("row").withField(text_col, text).alias("row"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.select(F.col("row").withField("n_chars", F.length(own).cast(docs.schema["n_chars"].dataType)).alias("row"))
+    return out.select("row.*")
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

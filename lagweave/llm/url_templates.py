@@ -23,8 +23,8 @@ RULES = (
 )
 #: A segment stays literal with so many urls at its place.
 MIN_SUPPORT = 10
-#: Segments that the tree looks at; what is deeper is one `**`.
-MAX_DEPTH = 6
+#: From this depth on, the rest of a path whose branch has fewer urls than MIN_SUPPORT is one `**`; others go on.
+PLAIN_DEPTH = 6
 #: Strength of smoothing, in labels; z value up to which neighbouring branches count as alike.
 SMOOTHING, SIMILAR_Z = 5.0, 1.96
 
@@ -51,16 +51,25 @@ def templates(urls: DataFrame) -> DataFrame:
     """urls (host, path, ...) with `template`, e.g. /en/*; the segments of the tree are chosen level by level."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pin(urls.withColumn("segments", segments).withColumn("template", F.lit("")), "urls")
-    depth = min(rows.agg(F.max(F.size("segments"))).first()[0] or 0, MAX_DEPTH)
+    depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     for d in range(depth):
         seg = F.get("segments", F.lit(d))
+        if d >= PLAIN_DEPTH:
+            deeper = rows.filter(F.size("segments") > d).groupBy("host", "template").agg(F.count("*").alias("n"))
+            thin = pin(deeper.filter(F.col("n") < MIN_SUPPORT).withColumn("thin", F.lit(True)), "thin")
+            ends = (F.size("segments") > d) & F.col("thin").isNotNull()
+            rows = lookup_join(rows, thin, ["host", "template"], weight="n").withColumns(
+                {"template": F.when(ends, F.concat("template", F.lit("/**"))).otherwise(F.col("template")), "segments": F.when(ends, F.slice("segments", 1, d)).otherwise(F.col("segments"))}
+            )
+            rows = pin(rows.drop("thin", "n"), "urls")
+            if not rows.filter(F.size("segments") > d).limit(1).count():
+                break
         counts = rows.filter(F.size("segments") > d).groupBy("host", "template", seg.alias("segment")).agg(F.count("*").alias("n"))
         literal = pin(counts.filter(F.col("n") >= MIN_SUPPORT), "literal")
         marked = lookup_join(rows.withColumn("segment", seg), literal, ["host", "template", "segment"], weight="n")
         step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("n").isNull(), "*").otherwise(F.col("segment"))))
         rows = pin(marked.withColumn("template", F.concat("template", step)).drop("segment", "n"), "urls")
-    rest = F.when(F.size("segments") > MAX_DEPTH, "/**").otherwise("")
-    return rows.withColumn("template", F.concat("template", rest)).drop("segments")
+    return rows.drop("segments")
 
 
 def judged_templates(labelled: DataFrame) -> DataFrame:

@@ -71,16 +71,16 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def read_responses(spark: SparkSession, payloads: str, records: DataFrame) -> DataFrame:
-    """header, block (the payload) and digest_ok of each response record, joined within buckets."""
+    """header, block (the payload) and digest_ok of each response record, joined within buckets; without its payload, a null block and false."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     heads = records.filter("record_type = 'response'").select("header", "sha256")
     stored = spark.table(payloads).hint("merge")
-    out = heads.repartition(buckets, "sha256").join(stored, "sha256")
-    return out.select("header", F.col("payload").alias("block"), (F.sha2("payload", 256) == F.col("sha256")).alias("digest_ok"))
+    out = heads.repartition(buckets, "sha256").join(stored, "sha256", "left")
+    return out.select("header", F.col("payload").alias("block"), F.coalesce(F.sha2("payload", 256) == F.col("sha256"), F.lit(False)).alias("digest_ok"))
 
 
 def original_records(spark: SparkSession, payloads: str, records: DataFrame) -> DataFrame:
-    """The bytes of every record as a WARC file has them: header, block, two line breaks. Revisits have no block."""
+    """The bytes of every record as a WARC file has them: header, block, two line breaks. Revisits have no block; without its payload a response is null."""
     end = F.lit(CRLF + CRLF).cast("binary")
     full = read_responses(spark, payloads, records).select(F.concat(F.col("header").cast("binary"), "block", end).alias("record"))
     return full.unionByName(records.filter("record_type = 'revisit'").select(F.concat(F.col("header").cast("binary"), end).alias("record")))
@@ -101,12 +101,18 @@ def _parsed(header: Column) -> dict[str, Column]:
 
 def read_archive(spark: SparkSession, payloads: str, records: DataFrame) -> DataFrame:
     """One row per record, from its header and, for a response, the bytes joined to it: page_id,
-    payload_bytes, payload_digest, record_type, refers_to, verified (bytes, digests and lengths agree)."""
+    payload_bytes, payload_digest, record_type, refers_to, verified (bytes, digests and lengths agree).
+
+    A record whose payload is missing or damaged stays, with its header's digest and length if there are no bytes, and verified is false."""
     found = read_responses(spark, payloads, records)
     sha1, size = base32_sha1(F.sha1("block")), F.length("block").cast("long")
     responses = pin(
         found.select(*[c.alias(n) for n, c in _parsed(F.col("header")).items()], sha1.alias("_sha1"), size.alias("_size"), "digest_ok").withColumns(
-            {"verified": F.col("digest_ok") & (F.col("_sha1") == F.col("payload_digest")) & (F.col("_size") == F.col("payload_bytes")), "payload_digest": F.col("_sha1"), "payload_bytes": F.col("_size")}
+            {
+                "verified": F.coalesce(F.col("digest_ok") & (F.col("_sha1") == F.col("payload_digest")) & (F.col("_size") == F.col("payload_bytes")), F.lit(False)),
+                "payload_digest": F.coalesce("_sha1", "payload_digest"),
+                "payload_bytes": F.coalesce("_size", "payload_bytes"),
+            }
         ).drop("_sha1", "_size", "digest_ok"), "responses",
     )
     revisits = records.filter("record_type = 'revisit'").select(*[c.alias(n) for n, c in _parsed(F.col("header")).items()])
@@ -119,4 +125,7 @@ def read_archive(spark: SparkSession, payloads: str, records: DataFrame) -> Data
 
 
 def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archive(spark, *write_archive(table(spark, sf_dir, "pages")))
+    name, records = write_archive(table(spark, sf_dir, "pages"))
+    out = read_archive(spark, name, records)
+    spark.sql(f"DROP TABLE {name}")  # what was read of it is pinned
+    return out

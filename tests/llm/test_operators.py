@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagweave.llm import exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_rules, toxicity, url_templates, warc_archive
 
@@ -77,7 +78,7 @@ def test_equals_sql(spark, f, sql):
 def test_quality_removes_common_lines(spark):
     line = "this line is on every page of the site and says nothing"
     texts = [f"{BASE.replace('word', f'w{i}x')}\n{line}" for i in range(25)] + [(line + " again\n") * 3, None, ""]
-    d = docs(spark, texts).drop("row", "level", "name")
+    d = docs(spark, texts)
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(d).collect()}
     assert got[0]["removed_share"] == 0 and got[1]["removed_share"] > 0 and got[1]["kept"]
     assert got[26]["base_failed"] and got[26]["n_words"] == 0 and got[25]["n_repeat_words"] == 39 and got[25]["n_dup_lines"] == 2
@@ -171,6 +172,16 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_word_ids_equal_the_tokenizers():
+    import random
+
+    ids, r = packing.WordIds(packing.tokenizer_path()), random.Random(4)
+    odd = ["a", "The", "İ", "i\u0307", "ß", "ſ", "K", "é", "e\u0301", "\u0307", ".", ",", "'s", "'LL", "12", "½", "日本", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", " ", "\n", "\u3000", "\u200b", "<|endoftext|>"]
+    for _ in range(20000):
+        t = "".join(r.choice(odd) for _ in range(r.randint(1, 8)))
+        assert np.frombuffer(ids(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_word_ids_keep_separators():
     from tokenizers import Tokenizer
 
@@ -196,6 +207,19 @@ def test_warc_round_trip(spark):
     whole = [bytes(r[0]) for r in warc_archive.original_records(spark, payloads, records).collect()]
     assert len(whole) == 5 and sum(b"\r\n\r\nsame\r\n\r\n" in w for w in whole) == 1
     assert warc_archive.read_archive(spark, *warc_archive.write_archive(pages.limit(0))).count() == 0
+    spark.table(payloads).filter("payload <> CAST('same' AS BINARY)").write.mode("overwrite").saveAsTable(payloads + "_damaged")
+    damaged = {r["page_id"]: r for r in warc_archive.read_archive(spark, payloads + "_damaged", records).collect()}
+    assert len(damaged) == 5 and {i for i, r in damaged.items() if not r["verified"]} == {2, 5}
+    assert {i: r["payload_digest"] for i, r in damaged.items()} == sha
+    for t in (payloads, payloads + "_damaged"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_deep_paths_keep_supported_segments(spark):
+    deep = "/".join(f"s{i}" for i in range(9))
+    rows = [("h", f"/{deep}/{i % 2}a") for i in range(40)] + [("h", "/x/y/z/u/v/w/q/r/s/t")]
+    got = url_templates.templates(spark.createDataFrame(rows, "host string, path string")).groupBy("template").count().collect()
+    assert {r["template"]: r["count"] for r in got} == {f"/{deep}/0a": 20, f"/{deep}/1a": 20, "/*/*/*/*/*/*/**": 1}
 
 
 def test_url_rules_and_templates(spark):
@@ -402,6 +426,28 @@ def test_patience_and_licenses(spark):
     rows = licenses.scan_licenses(docs(spark, texts)).collect()
     assert sorted((r["doc_id"], r["license"]) for r in rows) == [(2, "Apache-2.0"), (2, "Apache-2.0"), (4, "ISC")]
     assert texts[2][rows[0]["start"] : rows[0]["end"]].startswith("Licensed under")
+    assert licenses.scan_text("İİİİİ Released under the MIT License.", {"MIT": licenses.words_of(licenses.TEMPLATES["MIT"])})[0][2] == 6
+
+
+def test_license_gaps_without_anchors_are_aligned():
+    """A long template whose words all occur twice has no anchors; three changed words leave one wide gap."""
+    template = [f"w{i % 90}" for i in range(180)]
+    words = list(template)
+    for i in (5, 60, 120):
+        words[i] = f"w{(i + 17) % 90}"
+    words[0], words[-1] = "w3", "w3"
+    aligned = licenses.patience(words, template)
+    assert len(aligned) >= 174
+    hits = licenses.scan_text(" ".join(words), {"long": template})
+    assert [h[0] for h in hits] == ["long"]
+
+
+def test_license_near_misses_skip_ahead():
+    template = licenses.words_of(licenses.TEMPLATES["Apache-2.0-header"])
+    text = " ".join((template[:50] + ["other"] * 5) * 40)
+    every = [i for i in range(0, 2200) if len(licenses.patience(text.split()[i : i + int(1.6 * len(template)) + 1], template)) >= 0.8 * len(template)]
+    hits = licenses.scan_text(text, {"x": template})
+    assert bool(hits) == bool(every)
 
 
 def test_pipeline_stages(spark):
@@ -410,12 +456,17 @@ def test_pipeline_stages(spark):
     r = np.random.default_rng(5)
     words = [[f"d{i}w{j}" for j in r.permutation(120)] for i in range(40)]
     texts = [" ".join(w) for w in words] + [" ".join(words[0]), " ".join(words[1][:-1] + ["changed"]), "short", None]
-    rows = docs(spark, texts, [f"s{i % 4}" for i in range(len(texts))]).drop("row", "level", "name")
+    rows = docs(spark, texts, [f"s{i % 4}" for i in range(len(texts))])
+    for c_ in ("id", "host", "text_hash", "_i", "_id", "_sha", "_row", "source_size", "class", "kept"):
+        rows = rows.withColumn(c_, F.lit(c_))
+    rows = rows.unionByName(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(BASE)))
+    columns = rows.columns
     kept = []
     for name, stage in c.STAGES:
         rows = c.pin(stage(spark, rows, SF), name)
         kept.append(rows)
-    assert kept[0].count() == 42 and kept[1].count() == 41 and kept[2].count() == 40 and "offset" in kept[4].columns
-    assert {x["doc_id"] for x in kept[2].collect()} == set(range(40))
+        assert name == "packing" or rows.columns == columns
+    assert kept[0].count() == 43 and kept[1].count() == 42 and kept[2].count() == 41 and "offset" in kept[4].columns
+    assert {x["doc_id"] for x in kept[2].collect()} == {None, *range(40)}
     mixed = kept[3].groupBy("doc_id").count().collect()
     assert max(x["count"] for x in mixed) <= 2 and kept[4].select("doc_id").distinct().count() == len(mixed)
