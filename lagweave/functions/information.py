@@ -28,14 +28,15 @@ def psi(n: np.ndarray) -> np.ndarray:
     return table[n]
 
 
-def neighbour_statistics(points: np.ndarray, k: int, spaces: list[list[int]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Radius of each point and, for each list of columns, the number of points nearer than it."""
+def neighbour_statistics(points: np.ndarray, k: int, spaces: list[list[int]], start: int = 0, stop: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Radius of each point and, for each list of columns, the number of points nearer than it; of rows start to stop only if asked."""
     n = len(points)
     if k >= n:
         raise ValueError(f"k = {k} needs more than {n} points")
-    radius, counts = np.empty(n), [np.empty(n, np.int64) for _ in spaces]
-    for at in range(0, n, ROWS):
-        q = points[at : at + ROWS]
+    queries = points[start:stop]
+    radius, counts = np.empty(len(queries)), [np.empty(len(queries), np.int64) for _ in spaces]
+    for at in range(0, len(queries), ROWS):
+        q = queries[at : at + ROWS]
         by_dim = [np.abs(q[:, j : j + 1] - points[None, :, j]) for j in range(points.shape[1])]
         joint = by_dim[0].copy()
         for d in by_dim[1:]:
@@ -51,19 +52,65 @@ def neighbour_statistics(points: np.ndarray, k: int, spaces: list[list[int]]) ->
     return radius, counts
 
 
-def knn_entropies(points: np.ndarray, blocks: dict[str, list[int]], k: int, base: float = np.e) -> dict[str, float]:
+def neighbours(points: np.ndarray, k: int, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and max-norm distances of the k nearest of each point (itself first), ties by number."""
+    queries = points[start:stop]
+    index, distance = np.empty((len(queries), k), np.int64), np.empty((len(queries), k))
+    for at in range(0, len(queries), ROWS):
+        d = np.abs(queries[at : at + ROWS, None, :] - points[None, :, :]).max(2)
+        own = np.arange(len(d))
+        d[own, start + at + own] = -1.0
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        index[at : at + ROWS], distance[at : at + ROWS] = best, np.maximum(np.take_along_axis(d, best, 1), 0.0)
+    return index, distance
+
+
+def _subsets(blocks: dict[str, list[int]]) -> dict[str, list[int]]:
+    """Columns of every set of blocks, by the names of these."""
     names = ["".join(c) for m in range(1, len(blocks) + 1) for c in combinations(sorted(blocks), m)]
-    cols = {s: [j for b in s for j in blocks[b]] for s in names}
-    full = "".join(sorted(blocks))
-    radius, counts = neighbour_statistics(points, k, [cols[s] for s in names])
-    log_r, n = np.log(radius).mean(), len(points)
-    out = {}
-    for s, c in zip(names, counts, strict=True):
-        mean_psi = psi(np.array([k]))[0] if s == full else psi(c).mean()
-        out[s] = (psi(np.array([n]))[0] - mean_psi + len(cols[s]) * log_r) / np.log(base)
+    return {s: [j for b in s for j in blocks[b]] for s in names}
+
+
+def entropy_sums(points: np.ndarray, blocks: dict[str, list[int]], approach: str, k: int, rule: str = "silverman", kernel: str = "gaussian", start: int = 0, stop: int | None = None, names: list[str] | None = None) -> list[float]:
+    """What rows start to stop add to the entropies of sets of blocks (all, or `names`): sums over rows, to be added up for all ranges.
+
+    knn: the log radius, then psi of the neighbour count of each set but the largest; kde: minus the log density of each set.
+    """
+    cols = _subsets(blocks)
+    if names is not None:
+        cols = {s: cols[s] for s in names}
+    if approach == "knn":
+        part = [c for s, c in cols.items() if len(s) < len(blocks)]
+        radius, counts = neighbour_statistics(points, k, part, start, stop)
+        return [float(np.log(radius).sum()), *[float(psi(c).sum()) for c in counts]]
+    if approach != "kde":
+        raise ValueError(f"approach {approach} is neither knn nor kde")
+    out = []
+    for c in cols.values():
+        sub = points[:, c]
+        p = kernel_density(sub, sub[start:stop], bandwidth(sub, rule), kernel)
+        out.append(float(-np.where(p > 0, np.log(np.where(p > 0, p, 1)), 0).sum()))
     return out
 
 
+def entropies_from(sums: list[float], n: int, blocks: dict[str, list[int]], approach: str, k: int, base: float = np.e, names: list[str] | None = None) -> dict[str, float]:
+    """Entropies of sets of blocks (all, or `names`) from the sums of all n rows."""
+    cols = _subsets(blocks)
+    if names is not None:
+        cols = {s: cols[s] for s in names}
+    if approach == "kde":
+        return {s: v / n / np.log(base) for s, v in zip(cols, sums, strict=False)}
+    at, out = iter(sums[1:]), {}
+    for s, c in cols.items():
+        mean_psi = psi(np.array([k]))[0] if len(s) == len(blocks) else next(at) / n
+        out[s] = float((psi(np.array([n]))[0] - mean_psi + len(c) * sums[0] / n) / np.log(base))
+    return out
+
+
+def knn_entropies(points: np.ndarray, blocks: dict[str, list[int]], k: int, base: float = np.e) -> dict[str, float]:
+    return entropies_from(entropy_sums(points, blocks, "knn", k), len(points), blocks, "knn", k, base)
+
+
 def bandwidth(points: np.ndarray, rule: str = "silverman") -> np.ndarray:
     n, d = points.shape
     h = n ** (-1 / (d + 4)) * ((4 / (d + 2)) ** (1 / (d + 4)) if rule == "silverman" else 1.0)
@@ -105,13 +152,7 @@ def general_kernel_density(points: np.ndarray, at: np.ndarray, matrix: np.ndarra
 
 
 def kde_entropies(points: np.ndarray, blocks: dict[str, list[int]], rule: str, kernel: str, base: float = np.e) -> dict[str, float]:
-    out = {}
-    for m in range(1, len(blocks) + 1):
-        for c in combinations(sorted(blocks), m):
-            sub = points[:, [j for b in c for j in blocks[b]]]
-            p = kernel_density(sub, sub, bandwidth(sub, rule), kernel)
-            out["".join(c)] = -np.where(p > 0, np.log(np.where(p > 0, p, 1)), 0).mean() / np.log(base)
-    return out
+    return entropies_from(entropy_sums(points, blocks, "kde", 0, rule, kernel), len(points), blocks, "kde", 0, base)
 
 
 def algebra(h: dict[str, float]) -> dict[str, float]:
@@ -133,9 +174,11 @@ def algebra(h: dict[str, float]) -> dict[str, float]:
                 out[f"i{a}{b}_w"] = e(a) + e(b) - hw - e(a + b)
     if {"x", "y", "z"} <= set(h):
         tail = "_w" if w else ""
-        ixy, ixz, iyz = (out[f"i{p}{tail}"] for p in ("xy", "xz", "yz"))
         total = e("xy") + e("z") - hw - e("xyz")
-        ii = total - ixz - iyz
+        ii = total - out[f"ixz{tail}"] - out[f"iyz{tail}"]
+        if w:  # conditional informations below 0 by rounding only are 0
+            out |= {m: 0.0 for m in ("ixy_w", "ixz_w", "iyz_w", "hx_w", "hy_w") if out[m] < 0 and abs(out[m]) < 1e-5 * abs(hw)}
+        ixy, ixz, iyz = (out[f"i{p}{tail}"] for p in ("xy", "xz", "yz"))
         rmmi, source, rmin = min(ixz, iyz), ixy / min(e("x") - hw, e("y") - hw), (-ii if ii < 0 else 0.0)
         r = rmin + source * (rmmi - rmin)
         out |= {"ixyz": total, "ii": ii, "rmmi": rmmi, "isource": source, "rmin": rmin, "r": r, "s": r + ii, "uxz": ixz - r, "uyz": iyz - r}

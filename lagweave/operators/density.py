@@ -23,7 +23,7 @@ def kernel(u: Column, name: str) -> Column:
 
 
 def density(df: DataFrame, columns: list[str], rule: str = "silverman", name: str = "gaussian", key: str = "t") -> DataFrame:
-    """key and p: product-kernel density at every sample, itself included.
+    """key and p: product-kernel density at every sample, itself included; a row for each row without nulls, also of repeated keys.
 
     Points are dealt into blocks; each block of targets meets each block of points once (a stated query set in
     blocks), and the partial sums of a target are added up, so no task holds more than two blocks.
@@ -38,16 +38,19 @@ def density(df: DataFrame, columns: list[str], rule: str = "silverman", name: st
     h = np.array([factor * s for s in sd])
     blocks = max(1, -(-n // POINTS))
     block = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
-    left = rows.withColumn("a", block).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Rows that are the same have the same density: one of them is a target, and its density is repeated.
+    left = rows.groupBy("_key", *columns).agg(F.count("*").alias("_m")).withColumn("a", block).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumnsRenamed({"_key": "_other"} | {c: f"_o_{c}" for c in columns})
     right = right.withColumn("b", F.pmod(F.xxhash64("_other"), F.lit(blocks)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         p = info.kernel_density(y[[f"_o_{c}" for c in columns]].to_numpy(), x[columns].to_numpy(), h, name) * len(y) if len(x) and len(y) else np.zeros(len(x))
-        return pd.DataFrame({"_key": x["_key"].astype("int64"), "s": p})
+        return x[["_key", *columns, "_m"]].assign(s=p)
 
-    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, "_key long, s double")
-    return pairs.groupBy(F.col("_key").alias(key)).agg((F.sum("s") / n).alias("p"))
+    schema = "_key long, " + ", ".join(f"`{c}` double" for c in columns) + ", _m long, s double"
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, schema)
+    each = pairs.groupBy("_key", *columns, "_m").agg((F.sum("s") / n).alias("p"))
+    return each.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int")))).select(F.col("_key").alias(key), "p")
 
 
 def entropy_of(densities: DataFrame, base: float = math.e) -> DataFrame:

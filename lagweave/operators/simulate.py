@@ -57,32 +57,42 @@ def ornstein_uhlenbeck(r, n: int, dt: float, theta, rho: float = 1.0, init=(1.6,
     return _flow(r, lambda v: theta @ v, init, n, dt, rho, burn)
 
 
-def henon(r, n: int, e: float = 0.0, init=(0.0, 0.0), a: float = 1.4, b: float = 0.3) -> np.ndarray:
-    x, y = init
-    out = np.empty((n, 2))
-    for i in range(2000 + n):
-        x, y = 1 - a * x * x + y + e * r.uniform(), b * x
-        if i >= 2000:
-            out[i - 2000] = x, y
+def henon(r, n: int, e: float = 0.0, init=None, a: float = 1.4, b: float = 0.3, burn: int = 2000) -> np.ndarray:
+    """n steps and the state before them; both variables carry uniform noise of size e."""
+    x, y = r.uniform(0.25, 0.4, 2) if init is None else init
+    out = np.empty((n + 1, 2))
+    for i in range(burn + n + 1):
+        if i >= burn:
+            out[i - burn] = x, y
+        x, y = 1 - a * x * x + y + e * r.uniform(), b * x + e * r.uniform()
     return out
 
 
 def two_species(r, n: int, x0=0.4, y0=0.2, rx=3.8, ry=3.5, bxy=0.02, byx=0.1, tau: int = 0) -> np.ndarray:
+    """x drives y after tau more steps; the first tau + 1 states are the initial one."""
     out = np.empty((n, 2))
-    out[0] = x0, y0
-    for t in range(n - 1):
+    out[: tau + 1] = x0, y0
+    for t in range(tau, n - 1):
         x, y = out[t]
-        out[t + 1] = x * (rx - rx * x - bxy * y), y * (ry - ry * y - byx * out[max(t - tau, 0), 0])
+        out[t + 1] = x * (rx - rx * x - bxy * y), y * (ry - ry * y - byx * out[t - tau, 0])
     return out
 
 
-def fishery(r, n: int, rxx=3.1, rxt=-0.3, ryy=2.9, ryt=-0.36, cx=0.4, cy=0.35) -> np.ndarray:
-    """Two populations that share a forcing."""
-    out, s = np.full((n, 2), 0.5), r.normal(size=n)
-    for t in range(n - 1):
-        x, y = out[t]
-        out[t + 1] = x * (rxx * (1 - x)) * np.exp(rxt * s[t]) * cx + (1 - cx) * x, y * (ryy * (1 - y)) * np.exp(ryt * s[t]) * cy + (1 - cy) * y
-    return out
+def fishery(r, n: int, rxx=3.1, rxt=-0.3, ryy=2.9, ryt=-0.36, cx=0.4, cy=0.35, compat: bool = False, burn: int = 100) -> np.ndarray:
+    """Two populations and their common forcing: survivors plus the recruits of four steps before (Sugihara et al. 2012, S4).
+
+    With compat the survivors of the second population are a share of the first, as in a historical implementation.
+    """
+    total = n + burn
+    grow = lambda v, rate, s, push: v * rate * (1 - v) * np.exp(push * s)
+    s, x, y, rx, ry = r.normal(size=total), np.zeros(total), np.zeros(total), np.zeros(total), np.zeros(total)
+    x[:4], y[:4], rx[0], ry[0] = r.uniform(size=4), r.uniform(size=4), r.uniform(), r.uniform()
+    for t in range(1, total):
+        if t >= 4:
+            x[t] = cx * x[t - 1] + max(rx[t - 4], 0.0)
+            y[t] = cy * (x if compat else y)[t - 1] + max(ry[t - 4], 0.0)
+        rx[t], ry[t] = grow(x[t - 1], rxx, s[t - 1], rxt), grow(y[t - 1], ryy, s[t - 1], ryt)
+    return np.stack([x, y, s], axis=1)[burn:]
 
 
 def common_driver(r, n: int, cwx: float, cwy: float, cxz: float, cyz: float, product: bool = False, sw=1.0, sx=1.0, sy=1.0, sz=1.0) -> np.ndarray:

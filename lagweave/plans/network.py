@@ -21,6 +21,9 @@ from lagweave.operators import graph as G
 #: Values of a series that may be shared with the executors (512 MB).
 SHARED_VALUES = 64_000_000
 LEAST_ROWS = 100
+#: Query rows of one task, and sums that these can have at most (log radius, 15 sets of four blocks).
+QUERY_ROWS, SUMS = 2048, 16
+_SUMS = [f"s{i}" for i in range(SUMS)]
 RESULT = (
     "kind string, target string, source string, tau int, status string, n long, d int, value double, total double, s double, r double, "
     "uxz double, uyz double, independent boolean, upper double, lower double"
@@ -59,25 +62,83 @@ def matrix(values: np.ndarray, nodes: list) -> np.ndarray:
     return np.stack([values[lag - low : lag - low + max(rows, 0), v] for v, lag in nodes], axis=1)
 
 
-def estimate(points: np.ndarray, request: Request, approach: str, k: int, base: float, rule: str, kernel: str) -> dict:
+def _blocks(request: Request) -> tuple[list[int] | None, dict[str, list[int]]]:
+    """Order of the request's columns (None: as they are) and the blocks they make."""
     nx, ny, nz, nw = (len(b) for b in (request.x, request.y, request.z, request.w))
-    if request.measure == "corr":
-        return {"value": float(np.corrcoef(points[:, 0], points[:, 1])[0, 1])}
+    d = nx + ny + nz + nw
     if request.measure == "pid":
         # First and second sources are x and y of the decomposition, the target is z.
-        order = [*range(nx, nx + ny), *range(nx + ny, nx + ny + nz), *range(nx), *range(nx + ny + nz, points.shape[1])]
+        order = [*range(nx, nx + ny), *range(nx + ny, nx + ny + nz), *range(nx), *range(nx + ny + nz, d)]
         ends = np.cumsum([ny, nz, nx, nw])
-        blocks = {b: list(range(a, e)) for b, a, e in zip("xyzw", [0, *ends[:-1]], ends, strict=True) if e > a}
-        m = info.information(points[:, order], blocks, approach, k, base, rule, kernel)
+        return order, {b: list(range(a, e)) for b, a, e in zip("xyzw", [0, *ends[:-1]], ends, strict=True) if e > a}
+    return None, {"x": list(range(nx)), "y": list(range(nx, nx + ny))} | ({"w": list(range(nx + ny, d))} if nw else {})
+
+
+def _sets(request: Request) -> list[str] | None:
+    """Sets of blocks whose entropies the request needs; None: all."""
+    if request.measure == "pid":
+        return None
+    return ["w", "wx", "wy", "wxy"] if request.w else ["x", "y", "xy"]
+
+
+def partial(points: np.ndarray, request: Request, approach: str, k: int, rule: str, kernel: str, start: int, stop: int) -> list[float]:
+    """What query rows start to stop of the sample add to the request's estimate."""
+    if request.measure == "corr":
+        return [float(np.corrcoef(points[:, 0], points[:, 1])[0, 1])] if not start else [0.0]
+    if not request.y:
+        return [0.0]
+    order, blocks = _blocks(request)
+    return info.entropy_sums(points if order is None else points[:, order], blocks, approach, k, rule, kernel, start, stop, _sets(request))
+
+
+def finished(sums: list[float], n: int, request: Request, approach: str, k: int, base: float) -> dict:
+    """The request's estimate from the sums over all n rows."""
+    if request.measure == "corr" or not request.y:
+        return {"value": sums[0]}
+    h = info.entropies_from(sums, n, _blocks(request)[1], approach, k, base, _sets(request))
+    if request.measure == "pid":
+        m = info.algebra(h)
         return {"value": m["ixyz"], "total": m["ixyz"], **{c: m[c] for c in ("s", "r", "uxz", "uyz")}}
-    if not ny:
-        return {"value": 0.0}
-    if approach == "knn":
-        v = info.conditional_mutual_information(points, nx, ny, k) if nw else info.mutual_information(points, nx, k)
-        return {"value": v / math.log(base)}
-    blocks = {"x": list(range(nx)), "y": list(range(nx, nx + ny))} | ({"w": list(range(nx + ny, nx + ny + nw))} if nw else {})
-    m = info.information(points, blocks, approach, k, base, rule, kernel)
-    return {"value": m["ixy_w" if nw else "ixy"]}
+    return {"value": h["wx"] + h["wy"] - h["w"] - h["wxy"] if request.w else h["x"] + h["y"] - h["xy"]}
+
+
+def information_of(df: DataFrame, blocks: dict[str, list[str]], names: list[str], approach: str = "knn", k: int = 5, base: float = math.e, rule: str = "silverman", kernel: str = "gaussian", time: str = "t") -> DataFrame:
+    """One row of the measures `names` of the blocks (name: columns) of one sample, null rows left out.
+
+    The sample is shared within SHARED_VALUES; blocks of query rows are tasks, whose sums are added up.
+    """
+    spark, columns = df.sparkSession, [c for b in blocks.values() for c in b]
+    at = {b: [columns.index(c) for c in cs] for b, cs in blocks.items()}
+    points = _collected(df, columns, time)
+    points = points[~np.isnan(points).any(1)]
+    n, shared = len(points), spark.sparkContext.broadcast(points)
+
+    def sums(batches):
+        for b in batches:
+            got = [info.entropy_sums(shared.value, at, approach, k, rule, kernel, i * QUERY_ROWS, (i + 1) * QUERY_ROWS) for i in b["id"]]
+            yield pd.DataFrame([g + [0.0] * (SUMS - len(g)) for g in got], columns=_SUMS)
+
+    def finish(batches):
+        for b in batches:
+            m = [info.algebra(info.entropies_from([r[c] for c in _SUMS], n, at, approach, k, base)) for _, r in b.iterrows()]
+            yield pd.DataFrame([[x[c] for c in names] for x in m], columns=names)
+
+    parts = -(-n // QUERY_ROWS)
+    added = spark.range(0, parts, 1, max(1, parts)).mapInPandas(sums, ", ".join(f"{c} double" for c in _SUMS)).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return added.mapInPandas(finish, ", ".join(f"{c} double" for c in names))
+
+
+def _collected(df: DataFrame, columns: list[str], time: str) -> np.ndarray:
+    """The values of a series in order of time, within SHARED_VALUES."""
+    n = df.count()
+    if n * len(columns) > SHARED_VALUES:
+        raise ValueError(f"a series of {n} rows is beyond what is shared; aggregate it or use series of blocks")
+    return df.select(time, *columns).orderBy(time).toPandas()[columns].to_numpy(float)
+
+
+def estimate(points: np.ndarray, request: Request, approach: str, k: int, base: float, rule: str, kernel: str) -> dict:
+    """The request's estimate from the whole sample at once."""
+    return finished(partial(points, request, approach, k, rule, kernel, 0, len(points)), len(points), request, approach, k, base)
 
 
 class Network:
@@ -114,44 +175,58 @@ class Network:
 
     def _values(self):
         if self._shared is None:
-            n = self.series.count()
-            if n * len(self.columns) > SHARED_VALUES:
-                raise ValueError(f"a series of {n} rows is beyond what is shared; aggregate it or use series of blocks")
-            got = self.series.select(self.time, *self.columns).orderBy(self.time).toPandas()
-            self._shared = self.series.sparkSession.sparkContext.broadcast(got[self.columns].to_numpy(float))
+            self._shared = self.series.sparkSession.sparkContext.broadcast(_collected(self.series, self.columns, self.time))
         return self._shared
 
+    def close(self) -> None:
+        """Release the shared series; results that were not yet computed cannot be computed any more."""
+        if self._shared is not None:
+            self._shared.destroy()
+            self._shared = None
+
     def run(self, requests: list[Request]) -> DataFrame:
-        """One row per request; equal requests are estimated once. Tests are spread as single shuffles."""
+        """One row per request; equal requests are estimated once. Single shuffles of tests, and blocks of query rows, are tasks."""
         spark, values = self.series.sparkSession, self._values()
         approach, k, base, rule, kernel, seed, alpha = self.approach, self.k, self.base, self.rule, self.kernel, self.seed, self.alpha
         distinct = {r.key(): r for r in requests}
         number = {key: i for i, key in enumerate(distinct)}
         jobs = list(distinct.values())
-        tasks = [(i, rep) for i, r in enumerate(jobs) for rep in range(1 + (self.ntest if r.test else 0))]
+        blocks = max(1, -(-len(values.value) // QUERY_ROWS))
+        tasks = [(i, rep, block) for i, r in enumerate(jobs) for rep in range(1 + (self.ntest if r.test else 0)) for block in range(blocks if r.y and r.measure != "corr" else 1)]
         plan = spark.sparkContext.broadcast(jobs)
 
         def work(batches):
             for b in batches:
                 out = []
-                for i, rep in zip(b["request"], b["rep"], strict=True):
+                for i, rep, block in zip(b["request"], b["rep"], b["block"], strict=True):
                     r = plan.value[i]
                     nodes = r.nodes()
                     m = matrix(values.value, nodes)
                     if rep:  # before rows with missing values go, as the shuffle is of the whole column
                         m[:, 0] = np.random.default_rng([seed, i, rep]).permutation(m[:, 0])
                     m = m[~np.isnan(m).any(1)]
-                    got = {"status": "ok", "value": None} if len(m) >= LEAST_ROWS else {"status": "too_few_rows", "value": None}
-                    if got["status"] == "ok":
-                        got |= estimate(m, r, approach, k, base, rule, kernel)
-                    out.append((i, rep, got["status"], len(m), len(nodes), *[got.get(c) for c in ("value", "total", "s", "r", "uxz", "uyz")]))
+                    start, sums = block * QUERY_ROWS, []
+                    if len(m) >= LEAST_ROWS and start < len(m):
+                        sums = partial(m, r, approach, k, rule, kernel, start, start + QUERY_ROWS)
+                    out.append((i, rep, len(m), len(nodes), *sums, *[0.0] * (SUMS - len(sums))))
+                yield pd.DataFrame(out, columns=["request", "rep", "n", "d", *_SUMS])
+
+        def finish(batches):
+            for b in batches:
+                out = []
+                for i, rep, n, d, *sums in b[["request", "rep", "n", "d", *_SUMS]].itertuples(index=False):
+                    ok = n >= LEAST_ROWS
+                    got = finished(list(sums), int(n), plan.value[i], approach, k, base) if ok else {}
+                    out.append((i, rep, "ok" if ok else "too_few_rows", n, d, *[got.get(c) for c in ("value", "total", "s", "r", "uxz", "uyz")]))
                 frame = pd.DataFrame(out, columns=["request", "rep", "status", "n", "d", "value", "total", "s", "r", "uxz", "uyz"])
                 yield frame.astype({c: "float64" for c in ("value", "total", "s", "r", "uxz", "uyz")})
 
         schema = "request int, rep int, status string, n long, d int, value double, total double, s double, r double, uxz double, uyz double"
         parts = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
-        table = spark.createDataFrame(tasks, "request int, rep int").repartition(parts, "request", "rep")
-        done = table.mapInPandas(work, schema)
+        table = spark.createDataFrame(tasks, "request int, rep int, block int").repartition(parts, "request", "rep", "block")
+        added = table.mapInPandas(work, "request int, rep int, n long, d int, " + ", ".join(f"{c} double" for c in _SUMS))
+        added = added.groupBy("request", "rep").agg(F.max("n").alias("n"), F.max("d").alias("d"), *[F.sum(c).alias(c) for c in _SUMS])
+        done = added.mapInPandas(finish, schema)
         clean = {c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in ("value", "total", "s", "r", "uxz", "uyz")}
         done = done.withColumns(clean)
         true = done.filter("rep = 0").drop("rep")

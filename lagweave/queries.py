@@ -6,9 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.functions import information as info
 from lagweave.operators import density, filters, graph, prepare, simulate
-from lagweave.plans.network import Network, estimate_parents, history
+from lagweave.plans.network import Network, estimate_parents, history, information_of
 from lagweave.sources import series
 from lagweave.streaming.windows import window_information
 
@@ -84,27 +83,11 @@ LAG_POINTS = HOURLY + ", p AS MATERIALIZED (SELECT a.t AS id, a.x AS x, b.x AS y
 def knn_mi_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = prepare.drop_missing(prepare.align(series.hourly_events(spark, sf_dir), [("x", 0), ("x", -1)]))
 
-    def run(key, pdf):
-        import pandas as pd
-
-        m = pdf.sort_values("t")[["c0", "c1"]].to_numpy()
-        return pd.DataFrame({"mi": [info.mutual_information(m, 1, K)]})
-
-    return _round(aligned.groupBy().applyInPandas(run, "mi double"), "mi")
+    return _round(information_of(aligned, {"x": ["c0"], "y": ["c1"]}, ["ixy"], k=K).withColumnRenamed("ixy", "mi"), "mi")
 
 
 def _measures(df: DataFrame, blocks: dict[str, list[str]], names: list[str], approach: str = "knn", **kw) -> DataFrame:
-    columns = [c for b in blocks.values() for c in b]
-    at = {b: [columns.index(c) for c in cs] for b, cs in blocks.items()}
-
-    def run(key, pdf):
-        import pandas as pd
-
-        m = info.information(pdf.sort_values("t")[columns].to_numpy(), at, approach, K, **kw)
-        return pd.DataFrame({n: [m[n]] for n in names})
-
-    # One sample is one task: estimators need all its points at once.
-    return _round(df.groupBy().applyInPandas(run, ", ".join(f"{n} double" for n in names)))
+    return _round(information_of(df, blocks, names, approach, K, **kw))
 
 
 DAILY_POINTS = N_DAILY + ", p AS MATERIALIZED (SELECT t AS id, x0 AS x, x1 AS y, x2 AS z FROM n)"
@@ -140,7 +123,17 @@ def info_3d_pid_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(_daily(spark, sf_dir), {"x": ["x0"], "y": ["x1"], "z": ["x2"]}, ["ixyz", "ii", "r", "s", "uxz", "uyz"])
 
 
-@query()
+CONDITIONED = N_DAILY + ", p AS MATERIALIZED (SELECT a.t AS id, b.x1 AS x, b.x2 AS y, a.x0 AS z, b.x0 AS w FROM n a JOIN n b ON b.t = a.t - 1)"
+CONDITIONED_SPACES = {"w": ["w"], "xw": ["x", "w"], "yw": ["y", "w"], "zw": ["z", "w"], "xyw": ["x", "y", "w"], "xzw": ["x", "z", "w"], "yzw": ["y", "z", "w"]}
+
+
+@query(
+    f"WITH q AS ({knn_sql(CONDITIONED, CONDITIONED_SPACES, ['x', 'y', 'z', 'w'], 'psi_n, psi_k, lr, ' + ', '.join(f'm_{s}' for s in CONDITIONED_SPACES))}), "
+    "e AS (SELECT psi_n - m_w + lr AS hw, psi_n - m_xw + 2 * lr AS hx, psi_n - m_yw + 2 * lr AS hy, psi_n - m_zw + 2 * lr AS hz, psi_n - m_xyw + 3 * lr AS hxy, psi_n - m_xzw + 3 * lr AS hxz, "
+    "psi_n - m_yzw + 3 * lr AS hyz, psi_n - psi_k + 4 * lr AS hxyz FROM q), i AS (SELECT *, hx + hy - hw - hxy AS ixy, hx + hz - hw - hxz AS ixz, hy + hz - hw - hyz AS iyz, hxy + hz - hw - hxyz AS ixyz FROM e), "
+    "j AS (SELECT *, ixyz - ixz - iyz AS ii, least(ixz, iyz) AS rmmi, ixy / least(hx - hw, hy - hw) AS isource FROM i), k AS (SELECT *, CASE WHEN ii < 0 THEN -ii ELSE 0 END AS rmin FROM j), "
+    "l AS (SELECT *, rmin + isource * (rmmi - rmin) AS r FROM k) SELECT round(ixyz, 6) AS ixyz, round(ii, 6) AS ii, round(r, 6) AS r, round(r + ii, 6) AS s, round(ixz - r, 6) AS uxz, round(iyz - r, 6) AS uyz FROM l"
+)
 def info_3d_conditioned_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = prepare.align(_daily(spark, sf_dir), [("x0", 0), ("x1", -1), ("x2", -1), ("x0", -1)])
     return _measures(aligned, {"x": ["c1"], "y": ["c2"], "z": ["c0"], "w": ["c3"]}, ["ixyz", "ii", "r", "s", "uxz", "uyz"])
@@ -208,12 +201,17 @@ def calendar_7_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Densities
 
 
-def _kde_sql(cols: list[str], result: str) -> str:
+def _kde_ctes(cols: list[str]) -> str:
+    """q: density p at every t of n."""
     d = len(cols)
     dev = "stddev_samp" if d > 1 else "stddev_pop"
     hs = ", ".join(f"pow(4.0 / {d + 2}, 1.0 / {d + 4}) * pow(count(*), -1.0 / {d + 4}) * {dev}({c}) AS h{i}" for i, c in enumerate(cols))
     ker = " * ".join(f"exp(-pow((a.{c} - b.{c}) / h{i}, 2) / 2) / sqrt(2 * pi()) / h{i}" for i, c in enumerate(cols))
-    return f"WITH {N_DAILY}, hh AS (SELECT {hs} FROM n), q AS (SELECT a.t, avg({ker}) AS p FROM n a, n b, hh GROUP BY a.t) SELECT {result} FROM q"
+    return f"hh AS (SELECT {hs} FROM n), q AS (SELECT a.t, avg({ker}) AS p FROM n a, n b, hh GROUP BY a.t)"
+
+
+def _kde_sql(cols: list[str], result: str) -> str:
+    return f"WITH {N_DAILY}, {_kde_ctes(cols)} SELECT {result} FROM q"
 
 
 @query(_kde_sql(["x0", "x1"], "t, round(p, 6) AS p"))
@@ -226,12 +224,26 @@ def kde_entropy_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(density.entropy_of(density.density(_daily(spark, sf_dir), ["x0"])))
 
 
-@query()
+def _kde_sets(sets: dict[str, list[str]], result: str) -> str:
+    """SQL of a SELECT over p: densities p_<name> at every t, one per set of columns."""
+    each = [f"q_{s} AS MATERIALIZED (WITH {_kde_ctes(cols)} SELECT t, p AS p_{s} FROM q)" for s, cols in sets.items()]
+    joined = " JOIN ".join(f"q_{s}" + (" USING (t)" if i else "") for i, s in enumerate(sets))
+    return f"WITH {N_DAILY}, {', '.join(each)} SELECT {result} FROM {joined}"
+
+
+@query(_kde_sets({"xyw": ["x0", "x1", "x2"], "xw": ["x0", "x2"], "yw": ["x1", "x2"], "w": ["x2"]},
+                 "round(sum(CASE WHEN p_xyw * p_w / (p_xw * p_yw) > 0 THEN p_xyw * ln(p_xyw * p_w / (p_xw * p_yw)) ELSE 0 END) / sum(p_xyw), 6) AS i"))
 def kde_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(density.weighted_information(_daily(spark, sf_dir), ["x0"], ["x1"], ["x2"]))
 
 
-@query()
+@query(
+    "WITH e AS (" + _kde_sets({"x": ["x0"], "y": ["x1"], "z": ["x2"], "xy": ["x0", "x1"], "xz": ["x0", "x2"], "yz": ["x1", "x2"], "xyz": ["x0", "x1", "x2"]},
+                              ", ".join(f"-avg(ln(p_{s})) AS h{s}" for s in ("x", "y", "z", "xy", "xz", "yz", "xyz")))
+    + "), i AS (SELECT *, hx + hy - hxy AS ixy, hx + hz - hxz AS ixz, hy + hz - hyz AS iyz, hxy + hz - hxyz AS ixyz FROM e), "
+    "j AS (SELECT *, ixyz - ixz - iyz AS ii, least(ixz, iyz) AS rmmi, ixy / least(hx, hy) AS isource FROM i), k AS (SELECT *, CASE WHEN ii < 0 THEN -ii ELSE 0 END AS rmin FROM j), "
+    "l AS (SELECT *, rmin + isource * (rmmi - rmin) AS r FROM k) SELECT round(ixyz, 6) AS ixyz, round(ii, 6) AS ii, round(r, 6) AS r, round(r + ii, 6) AS s, round(ixz - r, 6) AS uxz, round(iyz - r, 6) AS uyz FROM l"
+)
 def info_3d_pid_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(_daily(spark, sf_dir), {"x": ["x0"], "y": ["x1"], "z": ["x2"]}, ["ixyz", "ii", "r", "s", "uxz", "uyz"], "kde")
 
@@ -308,17 +320,63 @@ def mit_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, graph.CausalGraph(CHEM6, taumax=12).mit_condition((1, -2), (4, 0)))
 
 
-@query()
+def _between_sql(name: str, source: int) -> str:
+    """CTE `name`: nodes on directed paths from node `source` to node 4 of g, the latter left out."""
+    return (
+        f"u_{name}(node) AS (SELECT 4 UNION SELECT src_node FROM g JOIN u_{name} ON dst_node = node), d_{name}(node) AS (SELECT {source} UNION SELECT dst_node FROM g JOIN d_{name} ON src_node = node), "
+        f"{name} AS (SELECT node FROM u_{name} WHERE node <> 4 INTERSECT SELECT node FROM d_{name})"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {DAG}, {_between_sql('a', 12)}, {_between_sql('b', 19)}, w AS (SELECT src_node AS node FROM g WHERE dst_node = 4 UNION SELECT src_node FROM g WHERE dst_node IN (SELECT node FROM a) "
+    "UNION SELECT src_node FROM g WHERE dst_node IN (SELECT node FROM b)) SELECT CAST(node % 6 AS INTEGER) AS var, CAST(-(node // 6) AS INTEGER) AS lag FROM w "
+    "WHERE node <> 4 AND node NOT IN (SELECT node FROM a) AND node NOT IN (SELECT node FROM b)"
+)
 def mpid_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, graph.CausalGraph(CHEM6, taumax=12).mpid_condition([(0, -2)], [(1, -3)], (4, 0)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {DAG}, p(node, path) AS (SELECT 24, '0,-4' UNION ALL SELECT dst_node, path || ';' || (dst_node % 6) || ',' || (CASE WHEN dst_node // 6 = 0 THEN '0' ELSE '-' || (dst_node // 6) END) "
+    "FROM g JOIN p ON src_node = node) SELECT path FROM p WHERE node = 4"
+)
 def causal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = graph.CausalGraph(CHEM6, taumax=12).paths((0, -4), (4, 0))
     return spark.createDataFrame([(";".join(f"{v},{lag}" for v, lag in p),) for p in paths], "path string")
 
 
+def _bundled_sql() -> str:
+    inside = "(0, 1)"
+    return (
+        f"WITH {DAG}, u AS (SELECT CAST(unnest([1, 3]) AS INTEGER) AS tau), h AS (SELECT tau, v + 6 * i AS node FROM u, (SELECT unnest([0, 1]) AS v), (SELECT unnest(range(1, 4)) AS i) WHERE i <= tau), "
+        f"w AS (SELECT DISTINCT h.tau, src_node AS node FROM g JOIN h ON dst_node = h.node WHERE src_node // 6 > h.tau AND src_node % 6 IN {inside}), pt AS (SELECT tau, src_node AS node FROM g, u WHERE dst_node = 0), "
+        f"ptc AS (SELECT * FROM pt WHERE node % 6 IN {inside} AND node // 6 <= tau), rest AS (SELECT * FROM pt EXCEPT SELECT * FROM ptc), wp AS (SELECT * FROM w UNION SELECT * FROM ptc), "
+        f"o AS (SELECT DISTINCT wp.tau, src_node AS node FROM g JOIN wp ON dst_node = wp.node WHERE src_node % 6 NOT IN {inside}), "
+        "l AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS level), parts AS (SELECT level, 'w' AS part, tau, node FROM w, l UNION ALL SELECT level, 'ptc', tau, node FROM ptc, l "
+        "UNION ALL SELECT 1, 'f', tau, node FROM rest UNION ALL SELECT 2, 'f', tau, node FROM (SELECT * FROM rest UNION SELECT * FROM o)) "
+        "SELECT level, tau, part, CAST(node % 6 AS INTEGER) AS var, CAST(-(node // 6) AS INTEGER) AS lag FROM parts"
+    )
+
+
+@query(_bundled_sql())
+def bundled_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chem, rows = graph.CausalGraph(CHEM6, taumax=12), []
+    for level in (0, 1, 2):
+        for tau in (1, 3):
+            for part, nodes in zip(("w", "ptc", "f"), chem.bundled_components([0, 1], (0, 0), tau, level)[:3], strict=True):
+                rows += [(level, tau, part, v, lag) for v, lag in nodes]
+    return spark.createDataFrame(rows, "level int, tau int, part string, var int, lag int")
+
+
+CHAIN = "g AS (SELECT CAST(k + 1 AS INTEGER) AS src_node, CAST(k AS INTEGER) AS dst_node FROM (SELECT unnest(range(0, 40)) AS k))"
+
+
+@query(f"WITH RECURSIVE {CHAIN}, up(node) AS (SELECT src_node FROM g WHERE dst_node = 0 UNION SELECT src_node FROM g JOIN up ON dst_node = node) SELECT node FROM up")
+def chain_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ancestors(graph.dag(graph.edge_table(spark, {0: [(0, -1)]}), 1, 40), 0)
+
+
 @query()
 def transitive_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     strengths = np.add.outer(np.arange(6) * 0.01, np.add.outer(np.arange(6) * 0.02, np.linspace(0.9, 0.1, 6)))
@@ -492,7 +550,25 @@ def simulated_lorenz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simulated_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     henon = simulate.ensemble(spark, "henon", 1, 2, n=200)
-    return henon.unionByName(simulate.ensemble(spark, "fishery", 1, 2, n=200)).unionByName(simulate.ensemble(spark, "two_species", 1, 2, n=200))
+    fishery = simulate.ensemble(spark, "fishery", 1, 3, n=200)
+    return fishery.unionByName(henon, allowMissingColumns=True).unionByName(simulate.ensemble(spark, "two_species", 1, 2, n=200), allowMissingColumns=True)
+
+
+@query(
+    "WITH RECURSIVE s(t, x, y) AS (SELECT 0, 0.3::DOUBLE, 0.2::DOUBLE UNION ALL SELECT t + 1, 1::DOUBLE - 1.4::DOUBLE * x * x + y, 0.3::DOUBLE * x FROM s WHERE t < 300) "
+    "SELECT '0' AS series_id, CAST(t - 20 AS BIGINT) AS t, round(x, 6) AS x0, round(y, 6) AS x1 FROM s WHERE t >= 20 AND t <= 50"
+)
+def simulated_henon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(simulate.ensemble(spark, "henon", 1, 2, n=30, init=(0.3, 0.2), burn=20))
+
+
+@query(
+    "WITH RECURSIVE s(t, x, y, p, pp) AS (SELECT 2, 0.4::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE, 0.4::DOUBLE UNION ALL SELECT t + 1, x * (3.8::DOUBLE - 3.8::DOUBLE * x - 0.02::DOUBLE * y), "
+    "y * (3.5::DOUBLE - 3.5::DOUBLE * y - 0.1::DOUBLE * pp), x, p FROM s WHERE t < 39) SELECT '0' AS series_id, CAST(t AS BIGINT) AS t, round(x, 6) AS x0, round(y, 6) AS x1 FROM s "
+    "UNION ALL SELECT '0', CAST(unnest([0, 1]) AS BIGINT), 0.4, 0.2"
+)
+def simulated_two_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(simulate.ensemble(spark, "two_species", 1, 2, n=40, tau=2))
 
 
 @query()

@@ -57,13 +57,19 @@ def write_results(results: DataFrame, path: str, by: tuple[str, ...] = ("target"
     results.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+#: Event types that may become columns.
+MOST_TYPES = 100
+
+
 def hourly_events(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
     """t (hours since 1970) and x, or x0..x4 of the event types in order: mean event values by hour."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     t = F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', ts)").cast("long").alias("t")
     if not by_type:
         return events.groupBy(t).agg(F.avg("value").alias("x"))
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(MOST_TYPES + 1).collect()]
+    if len(kinds) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} event types: they are columns here; select some first")
     aggs = [F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(f"x{i}") for i, k in enumerate(kinds)]
     return events.groupBy(t).agg(*aggs)
 

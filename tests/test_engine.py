@@ -8,7 +8,7 @@ import pytest
 
 from lagweave import queries
 from lagweave.functions import information as info
-from lagweave.operators import graph, prepare, simulate
+from lagweave.operators import density, graph, prepare, simulate
 from lagweave.plans.network import Network, Request, history, matrix
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +90,66 @@ def test_paths_with_neighbours():
     assert set(graph.side_path_condition(p, (0, -1), (1, -1), (2, 0), 5)) == {(3, -2)}
 
 
+def test_ancestors_have_no_depth_limit(spark):
+    chain = graph.dag(graph.edge_table(spark, {0: [(0, -1)]}), 1, 60)
+    assert sorted(r["node"] for r in graph.ancestors(chain, 0).collect()) == list(range(1, 61))
+    assert graph.ancestors(chain, 60).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_nodes_on_paths_equal_listed_paths(seed):
+    r = np.random.default_rng(seed)
+    p = {v: [(int(s), -int(lag)) for s in range(4) for lag in range(3) if (lag or s < v) and r.random() < 0.25] for v in range(4)}
+    source, target = (int(r.integers(4)), -int(r.integers(1, 4))), (int(r.integers(4)), 0)
+    found = graph.paths_with_neighbours(p, source, target, 4)
+    for side in (False, True):
+        use = found["causal"] + (found["contemporaneous"] if side else [])
+        assert set(graph.nodes_on_paths(p, source, target, 4, side)) == {n for path in use for n in path} - {target}, (side, p, source, target)
+
+
+def test_bundled_components_of_full_bundle_and_reduction():
+    chem = graph.CausalGraph(queries.CHEM6, taumax=20)
+    assert chem.bundled_components([0, 1], (0, 0), 1)[2] == [(0, -3), (0, -4), (0, -5)]
+    w, ptc, f, outer = chem.bundled_components(list(range(6)), (4, 0), 2)
+    assert f == outer == [] and all(lag < -2 for _, lag in w) and set(ptc) == {(1, -1), (4, -1)}
+    assert set(chem.bundled_components([0, 1], (0, 0), 2, 2, reduce=True)[0]) <= set(chem.bundled_components([0, 1], (0, 0), 2, 2)[0])
+
+
+def test_density_keeps_rows_of_repeated_keys(spark):
+    rows = [(0, 0.1), (0, 0.7), (1, 0.3), (1, 0.3), (2, None)]
+    got = sorted((r["t"], round(r["p"], 9)) for r in density.density(spark.createDataFrame(rows, "t long, x double"), ["x"]).collect())
+    x = np.array([[v] for _, v in rows if v is not None])
+    p = info.kernel_density(x, x, info.bandwidth(x))
+    assert got == sorted((t, round(v, 9)) for (t, _), v in zip(rows, p, strict=False))
+
+
+def test_estimates_in_blocks_equal_the_whole(monkeypatch, spark):
+    from lagweave.plans import network
+
+    monkeypatch.setattr(network, "QUERY_ROWS", 37)
+    x = np.random.default_rng(3).normal(size=(240, 3))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "t long, a double, b double, c double")
+    for approach in ("knn", "kde"):
+        got = network.information_of(df, {"x": ["a"], "y": ["b"], "z": ["c"]}, ["ixyz", "r", "s"], approach).first()
+        want = info.information(x, {"x": [0], "y": [1], "z": [2]}, approach)
+        assert [got[m] for m in ("ixyz", "r", "s")] == pytest.approx([want[m] for m in ("ixyz", "r", "s")])
+    v = network.Network(df, ["a", "b", "c"], {0: [(1, -1)], 1: [], 2: []}, taumax=2).mi_set().filter("source = '0' AND target = '1,0'").first()
+    assert v["value"] == pytest.approx(info.mutual_information(x[:, [1, 0]], 1, 5)) and v["n"] == 240
+
+
+def test_neighbours():
+    x = np.random.default_rng(1).normal(size=(300, 2))
+    index, distance = info.neighbours(x, 4, 20, 290)
+    d = np.abs(x[20:290, None] - x[None]).max(2)
+    assert (index[:, 0] == np.arange(20, 290)).all() and np.allclose(distance, np.sort(d, 1)[:, :4])
+
+
+def test_fishery_recruits_after_four_steps():
+    x = simulate.fishery(np.random.default_rng(2), 60)
+    rx = 3.1 * x[:-1, 0] * (1 - x[:-1, 0]) * np.exp(-0.3 * x[:-1, 2])  # recruits made at 1..59
+    assert x.shape == (60, 3) and np.allclose(x[5:, 0], 0.4 * x[4:-1, 0] + np.maximum(rx[:-4], 0))
+
+
 def test_matrix_aligns_lags():
     x = np.arange(18.0).reshape(9, 2)
     m = matrix(x, [(0, -1), (0, -2), (1, 0), (1, -3)])
@@ -125,7 +185,7 @@ def test_network_tests_and_short_series(spark):
 
 def test_simulators_are_seeded(spark):
     a = simulate.ensemble(spark, "henon", 2, 2, n=50).orderBy("series_id", "t").collect()
-    assert a == simulate.ensemble(spark, "henon", 2, 2, n=50).orderBy("series_id", "t").collect() and len(a) == 100
+    assert a == simulate.ensemble(spark, "henon", 2, 2, n=50).orderBy("series_id", "t").collect() and len(a) == 102
 
 
 def brute_cmi(m, nw, k=5):
