@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.session import hadoop_path, pin, unpin  # noqa: F401 - the operators take them from here
+
 #: White space that separates words, as a Java / Python regular expression.
 WS = "[ \\t-\\r]+"
 #: A lookup table of at most this many (narrow) rows is broadcast; above, see lookup_join.
@@ -18,57 +18,16 @@ BROADCAST_BYTES = 16 << 20
 #: Heaviest keys that lookup_join and name_keys treat apart from the rest.
 HEAVY_KEYS = 512
 
-_fallback_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one if that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _fallback_dir:
-        _fallback_dir.append("file://" + tempfile.mkdtemp(prefix="lagweave-"))
-    return _fallback_dir[0]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lagweave/{name}-{uuid.uuid4().hex}"
-
-
-def pin(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._pinned_path = path
-    return out
-
-
-def _hadoop_path(df: DataFrame):
-    """The file system and path of what pin() wrote."""
-    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._pinned_path)
-    return p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), p
-
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df may be broadcast: few rows and, where it is known, few bytes."""
     if getattr(df, "_pinned_path", None):
-        fs, p = _hadoop_path(df)
+        fs, p = hadoop_path(df)
         if fs.getContentSummary(p).getLength() > BROADCAST_BYTES:
             return False
     return df.count() <= rows
 
 
-def unpin(*frames: DataFrame) -> None:
-    """Delete what pin() wrote, once nothing reads it any more."""
-    for df in frames:
-        if getattr(df, "_pinned_path", None):
-            fs, p = _hadoop_path(df)
-            fs.delete(p, True)
-
-
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
