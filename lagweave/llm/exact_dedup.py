@@ -123,12 +123,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal texts the one with the smallest text stays, ties by a hash of the row. An empty table gives an empty result.
     """
     found = pin(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept"), "found")
-    kept = found.groupBy("id", "sha").agg((F.count("*") > 1).alias("several"), F.max("kept").alias("kept")).filter("kept").select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"), "several")
+    kept = pin(found.groupBy("id", "sha").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("kept").drop("kept"), "kept")
+    unpin(found)
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.regexp_replace(text_or_empty(text_col), WS, " "), 256).alias("sha"), F.struct("*").alias("row"))
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("id", "sha", "several", "row")
-    first = F.min_by("row", F.struct(F.col("row").getField(text_col), F.xxhash64("row")))
-    repeated = joined.filter("several").groupBy("id", "sha").agg(first.alias("row"))
-    return joined.filter("NOT several").select("row").unionByName(repeated.select("row")).select("row.*")
+    once = kept.filter("n = 1").select(F.col("id").alias("k_id"), F.col("sha").alias("k_sha"))
+    out = rows.join(once, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("row")
+    several = pin(kept.filter("n > 1"), "several")
+    if several.limit(1).count():
+        first = F.min_by("row", F.struct(F.col("row").getField(text_col), F.xxhash64("row")))
+        out = out.unionByName(lookup_join(rows, several, ["id", "sha"], weight="n", how="inner").groupBy("id", "sha").agg(first.alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
