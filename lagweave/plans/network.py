@@ -281,9 +281,9 @@ class Network:
     def mpid_markov(self, first, second, target, conditioned: bool = True, tau: int = 0) -> list[Request]:
         return self._pid("mpid_markov", [target], first, second, self._markov([*first, *second]) if conditioned else [], tau)
 
-    def _history(self, target, w, ptc, tau, pid, test, f=(), prefix="") -> list[Request]:
+    def _history(self, target, w, ptc, tau, pid, test, f=(), prefix="", every: bool = False) -> list[Request]:
         out = [
-            self._cmi(prefix + "cit", [target], ptc, [*w, *f], tau, source="immediate"),
+            self._cmi(prefix + "cit", [target], ptc, [*w, *f], tau, test and every, source="immediate"),
             self._cmi(prefix + "past", [target], w, f, tau, test, source="distant"),
         ]
         if pid:
@@ -292,13 +292,13 @@ class Network:
                 out += self._pid(f"{prefix}pid_{label}", [target], own, cross, cond, tau, label)
         return out
 
-    def cit(self, sources, target, tau: int = 1, reduce: bool = False, pid: bool = False, test: bool = False, nearest: bool = False) -> list[Request]:
-        """Total, immediate and distant information of one lag; sources are variables."""
+    def cit(self, sources, target, tau: int = 1, reduce: bool = False, pid: bool = False, test: bool = False, nearest: bool = False, every: bool = False) -> list[Request]:
+        """Total, immediate and distant information of one lag; sources are variables. A test is of the distant one, with `every` of all three."""
         w, ptc, _ = self.graph.cit_components([(v, -tau) for v in sources], target, reduce)
         if nearest and w:
             w = [(v, max(lag for v2, lag in w if v2 == v)) for v in G.unique(v for v, _ in w)]
-        t = self._cmi("tit", [target], self.parents[target[0]], tau=tau, source="total")
-        return [t, *self._history(target, w, ptc, tau, pid, test)]
+        t = self._cmi("tit", [target], self.parents[target[0]], tau=tau, test=test and every, source="total")
+        return [t, *self._history(target, w, ptc, tau, pid, test, every=every)]
 
     def cit_markov(self, sources, target, tau: int = 1, pid: bool = False, test: bool = False) -> list[Request]:
         _, ptc, _ = self.graph.cit_components([(v, -tau) for v in sources], target)

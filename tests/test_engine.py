@@ -137,6 +137,12 @@ def test_estimates_in_blocks_equal_the_whole(monkeypatch, spark):
     assert v["value"] == pytest.approx(info.mutual_information(x[:, [1, 0]], 1, 5)) and v["n"] == 240
 
 
+def test_history_tests_all_three_if_asked():
+    net = Network(None, ["a", "b", "c"], queries.FULL3, taumax=3)
+    tested = lambda **kw: {r.kind for r in net.cit([0, 1, 2], (0, 0), 2, **kw) if r.test}
+    assert tested() == set() and tested(test=True) == {"past"} and tested(test=True, every=True) == {"tit", "cit", "past"}
+
+
 def test_neighbours():
     x = np.random.default_rng(1).normal(size=(300, 2))
     index, distance = info.neighbours(x, 4, 20, 290)
