@@ -42,7 +42,7 @@ def neighbour_statistics(points: np.ndarray, k: int, spaces: list[list[int]], st
         for d in by_dim[1:]:
             np.maximum(joint, d, out=joint)
         r = np.partition(joint, k, axis=1)[:, k]
-        r = np.where(r == 0, 1e-14, r)
+        r = np.maximum(r, 1e-14)  # values that differ by rounding only are equal
         radius[at : at + ROWS] = r
         for c, cols in zip(counts, spaces, strict=True):
             near = by_dim[cols[0]]
@@ -193,6 +193,17 @@ def information(points: np.ndarray, blocks: dict[str, list[int]], approach: str
     raise ValueError(f"approach {approach} is neither knn nor kde")
 
 
+def checked(blocks: dict[str, list], width: int | None = None) -> None:
+    """Raises unless the blocks are x, y, z, w in this order of need, not empty, without common columns and within `width` columns."""
+    columns = [c for b in blocks.values() for c in b]
+    if not set(blocks) <= set("wxyz") or "x" not in blocks or ("z" in blocks and "y" not in blocks):
+        raise ValueError(f"blocks {sorted(blocks)} are not x, then y, then z, and w")
+    if not all(blocks.values()) or len(set(columns)) < len(columns):
+        raise ValueError("a block is empty, or a column is in two blocks")
+    if width is not None and any(not 0 <= c < width for c in columns):
+        raise ValueError(f"a column is outside the {width} of the sample")
+
+
 def normalized(m: dict[str, float], magnitude: bool = False) -> dict[str, float]:
     """Measures as shares of their scale: informations of the joint entropy or, of the magnitude kind, of the total information."""
     scale = m.get("ixyz") if magnitude and "ixyz" in m else m.get("hxyz", m.get("hxy", m.get("hx")))

@@ -22,20 +22,49 @@ def kernel(u: Column, name: str) -> Column:
     return F.when(u * u < 1, 0.75 * (1 - u * u)).otherwise(0.0)
 
 
-def density(df: DataFrame, columns: list[str], rule: str = "silverman", name: str = "gaussian", key: str = "t") -> DataFrame:
+def density(df: DataFrame, columns: list[str], rule: str = "silverman", name: str = "gaussian", key: str = "t", bandwidth: float | None = None) -> DataFrame:
     """key and p: product-kernel density at every sample, itself included; a row for each row without nulls, also of repeated keys.
 
-    Points are dealt into blocks; each block of targets meets each block of points once (a stated query set in
-    blocks), and the partial sums of a target are added up, so no task holds more than two blocks.
+    Bandwidths follow the rule per column, or are `bandwidth` in all of them.
     """
-    rows = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    n = rows.count()
+    rows, n = _rows(df, columns, key)
     if not n:
         return df.sparkSession.createDataFrame([], f"{key} long, p double")
-    dev = F.stddev_samp if len(columns) > 1 else F.stddev_pop
-    sd = rows.agg(*[dev(c) for c in columns]).first()
-    factor = n ** (-1 / (len(columns) + 4)) * ((4 / (len(columns) + 2)) ** (1 / (len(columns) + 4)) if rule == "silverman" else 1.0)
-    h = np.array([factor * s for s in sd])
+    if bandwidth is None:
+        dev = F.stddev_samp if len(columns) > 1 else F.stddev_pop
+        h = _factor(n, len(columns), rule) * np.array(list(rows.agg(*[dev(c) for c in columns]).first()))
+    else:
+        h = np.full(len(columns), float(bandwidth))
+    return _in_blocks(rows, n, columns, key, lambda points, at: info.kernel_density(points, at, h, name))
+
+
+def general_density(df: DataFrame, columns: list[str], rule: str = "silverman", name: str = "gaussian", key: str = "t", matrix: np.ndarray | None = None, compat: bool = False) -> DataFrame:
+    """As `density`, with a full bandwidth matrix: the sample covariance times the square of the rule's factor, or `matrix`."""
+    rows, n = _rows(df, columns, key)
+    if not n:
+        return df.sparkSession.createDataFrame([], f"{key} long, p double")
+    if matrix is None:
+        cov = rows.agg(*[F.covar_samp(a, b) for a in columns for b in columns]).first()
+        matrix = _factor(n, len(columns), rule) ** 2 * np.array(list(cov)).reshape(len(columns), len(columns))
+    h = np.asarray(matrix, float)
+    return _in_blocks(rows, n, columns, key, lambda points, at: info.general_kernel_density(points, at, h, name, compat))
+
+
+def _factor(n: int, d: int, rule: str) -> float:
+    return n ** (-1 / (d + 4)) * ((4 / (d + 2)) ** (1 / (d + 4)) if rule == "silverman" else 1.0)
+
+
+def _rows(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, int]:
+    rows = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    return rows, rows.count()
+
+
+def _in_blocks(rows: DataFrame, n: int, columns: list[str], key: str, f) -> DataFrame:
+    """key and p: mean of the kernels f(points, at) over all points, at each of the n rows.
+
+    Points are dealt into blocks; each block of targets meets each block of points once (a stated query set in
+    blocks), and the partial sums of a target are added up, so no task holds more than two blocks.
+    """
     blocks = max(1, -(-n // POINTS))
     block = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")
     # Rows that are the same have the same density: one of them is a target, and its density is repeated.
@@ -44,7 +73,7 @@ def density(df: DataFrame, columns: list[str], rule: str = "silverman", name: st
     right = right.withColumn("b", F.pmod(F.xxhash64("_other"), F.lit(blocks)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        p = info.kernel_density(y[[f"_o_{c}" for c in columns]].to_numpy(), x[columns].to_numpy(), h, name) * len(y) if len(x) and len(y) else np.zeros(len(x))
+        p = f(y[[f"_o_{c}" for c in columns]].to_numpy(), x[columns].to_numpy()) * len(y) if len(x) and len(y) else np.zeros(len(x))
         return x[["_key", *columns, "_m"]].assign(s=p)
 
     schema = "_key long, " + ", ".join(f"`{c}` double" for c in columns) + ", _m long, s double"

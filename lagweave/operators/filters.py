@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,9 +91,10 @@ def strongest_lag(links: DataFrame) -> DataFrame:
 
 
 def collapsed(links: DataFrame) -> DataFrame:
-    """Per pair the strongest significant strength and its significant lags, the strongest first."""
+    """Per pair the strongest significant strength and its significant lags, the strongest first (the smaller lag if equal)."""
     s = links.filter(F.abs("mit") >= F.col("sig"))
-    g = s.groupBy("src", "dst").agg(F.max_by("mit", F.abs("mit")).alias("mit"), F.sort_array(F.collect_list(F.struct((-F.abs("mit")).alias("k"), "lag"))).alias("l"))
+    lags = F.sort_array(F.collect_list(F.struct((-F.abs("mit")).alias("k"), "lag")))
+    g = s.groupBy("src", "dst").agg(F.max_by("mit", F.struct(F.abs("mit"), -F.col("lag"))).alias("mit"), lags.alias("l"))
     return g.select("src", "dst", "mit", F.transform("l", lambda x: x["lag"]).alias("lags"))
 
 
@@ -105,6 +108,46 @@ def flagged(links: DataFrame, from_lag: int = 0) -> DataFrame:
     return links.filter(F.col("lag") >= from_lag).withColumn("is_significant", F.abs("mit") >= F.col("sig"))
 
 
+def lag_panels(links: DataFrame, contemporaneous: bool = True, correlation: bool = False, bounds: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of a lag function's panel: `strength` and whether it is significant; lag 0 of a variable with itself goes, and all of lag 0 if asked.
+
+    With `correlation`, strengths, thresholds and bounds are on the scale of correlations. `bounds` names columns of
+    confidence limits, which become `lower` and `upper`.
+    """
+    scale = correlation_of if correlation else (lambda c: c)
+    kept = links.filter(((F.col("src") != F.col("dst")) & F.lit(contemporaneous)) | (F.col("lag") > 0))
+    limits = [scale(F.col(c)).alias(name) for c, name in zip(bounds or (), ("lower", "upper"), strict=False)]
+    return kept.select("src", "dst", "lag", scale(F.col("mit")).alias("strength"), scale(F.col("sig")).alias("threshold"), (F.abs("mit") >= F.col("sig")).alias("is_significant"), *limits)
+
+
+def masked_series(df: DataFrame, column: str, mask: Column, time: str = "t", keep: bool = False) -> DataFrame:
+    """t, value and masked of one panel of a series: masked values are null, or with `keep` stay in `grey`; a null mask masks nothing."""
+    hidden = F.coalesce(mask, F.lit(False))
+    grey = [F.when(hidden, F.col(column)).alias("grey")] if keep else []
+    return df.select(F.col(time), F.when(~hidden, F.col(column)).alias("value"), hidden.alias("masked"), *grey)
+
+
+def labelled(df: DataFrame, labels: dict, columns: list[str]) -> DataFrame:
+    """df with variables in `columns` replaced by their labels; those without one keep their name."""
+    names = F.create_map(*[F.lit(str(x)) for pair in labels.items() for x in pair])
+    return df.withColumns({c: F.coalesce(names[F.col(c).cast("string")], F.col(c).cast("string")) for c in columns})
+
+
+def named_networks(candidates: DataFrame, links: DataFrame, true: DataFrame | None = None) -> DataFrame:
+    """network, dst, src, lag: `pc` (candidate edges), `mit` (significant links), `pcmit` (both) and `true`, if one is given."""
+    found = parents(links)
+    kinds = {"pc": candidates.select("dst", "src", "lag"), "mit": found, "pcmit": intersection(candidates, found)}
+    if true is not None:
+        kinds["true"] = true.select("dst", "src", "lag")
+    return reduce(DataFrame.unionByName, [e.withColumn("network", F.lit(n)) for n, e in kinds.items()])
+
+
+def split_ratio(history: DataFrame) -> DataFrame:
+    """Ratio of immediate to distant information by lag, in two columns: from 1 on, and below."""
+    ratio = F.col("cit") / F.nullif(F.col("past"), F.lit(0.0))
+    return history.select("target", "tau", F.when(ratio >= 1, ratio).alias("from_one"), F.when(ratio < 1, ratio).alias("below_one"))
+
+
 def history_curves(history: DataFrame) -> DataFrame:
     """tau, immediate, distant, total and the distant share of a causal history."""
     total = F.col("cit") + F.col("past")

@@ -47,12 +47,14 @@ class Request:
     tau: int = 0
     test: bool = False
     source: str = ""
+    #: Positions among the nodes of the columns that a test shuffles, each on its own.
+    shuffle: tuple[int, ...] = (0,)
 
     def nodes(self) -> list:
         return [*self.x, *self.y, *self.z, *self.w]
 
     def key(self) -> tuple:
-        return self.measure, tuple(self.x), tuple(self.y), tuple(self.z), tuple(self.w), self.test
+        return self.measure, tuple(self.x), tuple(self.y), tuple(self.z), tuple(self.w), self.test, self.shuffle
 
 
 def matrix(values: np.ndarray, nodes: list) -> np.ndarray:
@@ -107,6 +109,7 @@ def information_of(df: DataFrame, blocks: dict[str, list[str]], names: list[str]
 
     The sample is shared within SHARED_VALUES; blocks of query rows are tasks, whose sums are added up.
     """
+    info.checked(blocks)
     spark, columns = df.sparkSession, [c for b in blocks.values() for c in b]
     at = {b: [columns.index(c) for c in cs] for b, cs in blocks.items()}
     points = _collected(df, columns, time)
@@ -128,6 +131,16 @@ def information_of(df: DataFrame, blocks: dict[str, list[str]], names: list[str]
     return added.mapInPandas(finish, ", ".join(f"{c} double" for c in names))
 
 
+def long_measures(row: DataFrame) -> DataFrame:
+    """measure, value: a row per column of measures."""
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in row.columns])))
+
+
+def shares(row: DataFrame, scale: str) -> DataFrame:
+    """Measures as shares of the one named `scale`; null where that is 0."""
+    return row.select(*[(F.col(c) / F.nullif(F.col(scale), F.lit(0.0))).alias(c) for c in row.columns if c != scale])
+
+
 def _collected(df: DataFrame, columns: list[str], time: str) -> np.ndarray:
     """The values of a series in order of time, within SHARED_VALUES."""
     n = df.count()
@@ -203,7 +216,9 @@ class Network:
                     nodes = r.nodes()
                     m = matrix(values.value, nodes)
                     if rep:  # before rows with missing values go, as the shuffle is of the whole column
-                        m[:, 0] = np.random.default_rng([seed, i, rep]).permutation(m[:, 0])
+                        rng = np.random.default_rng([seed, i, rep])
+                        for c in r.shuffle:
+                            m[:, c] = rng.permutation(m[:, c])
                     m = m[~np.isnan(m).any(1)]
                     start, sums = block * QUERY_ROWS, []
                     if len(m) >= LEAST_ROWS and start < len(m):
@@ -292,9 +307,14 @@ class Network:
                 out += self._pid(f"{prefix}pid_{label}", [target], own, cross, cond, tau, label)
         return out
 
-    def cit(self, sources, target, tau: int = 1, reduce: bool = False, pid: bool = False, test: bool = False, nearest: bool = False, every: bool = False) -> list[Request]:
-        """Total, immediate and distant information of one lag; sources are variables. A test is of the distant one, with `every` of all three."""
-        w, ptc, _ = self.graph.cit_components([(v, -tau) for v in sources], target, reduce)
+    def cit(self, sources, target, tau: int = 1, reduce: bool = False, pid: bool = False, test: bool = False, nearest: bool = False, every: bool = False, most: int | None = None) -> list[Request]:
+        """Total, immediate and distant information of one lag; sources are variables. A test is of the distant one, with `every` of all three.
+
+        With `most`, of the conditions beyond the target's own parents only that many stay, those of strongest edges into the causal paths.
+        """
+        w, ptc, path = self.graph.cit_components([(v, -tau) for v in sources], target, reduce)
+        if most is not None:
+            w = self.graph.strongest_conditions(w, path, target, most)
         if nearest and w:
             w = [(v, max(lag for v2, lag in w if v2 == v)) for v in G.unique(v for v, _ in w)]
         t = self._cmi("tit", [target], self.parents[target[0]], tau=tau, test=test and every, source="total")
@@ -375,6 +395,44 @@ class Network:
         return self.run(out)
 
 
+def network_of(series: DataFrame, columns: list[str], edges: DataFrame, strengths: DataFrame | None = None, lagged_only: bool = False, **kw) -> Network:
+    """A network from tables: edges (dst, src, lag <= 0) and strengths (src, dst, lag >= 0, value), variables by their place in `columns`.
+
+    Both tables are of variables and lags, not of rows of the series. With `lagged_only`, edges of lag 0 are left out.
+    Variables without edges have no parents; strengths that are missing are 0.
+    """
+    rows = (edges.filter("lag <> 0") if lagged_only else edges).select("dst", "src", "lag").distinct().orderBy("dst", "src", F.desc("lag")).collect()
+    parents: G.Parents = {v: [] for v in range(len(columns))}
+    for dst, src, lag in rows:
+        if dst not in parents or src not in parents or lag > 0:
+            raise ValueError(f"edge {(dst, src, lag)} is not of the {len(columns)} variables, or its lag is above 0")
+        parents[dst].append((src, lag))
+    values = None
+    if strengths is not None:
+        cells = strengths.select("src", "dst", "lag", "value").collect()
+        values = np.zeros((len(columns), len(columns), 1 + max([r["lag"] for r in cells] + [-lag for _, _, lag in rows], default=0)))
+        for src, dst, lag, value in cells:
+            values[src, dst, lag] = value or 0.0
+    return Network(series, columns, parents, values, **kw)
+
+
+def independence(df: DataFrame, x: list[str], y: list[str], w: list[str] | None = None, shuffle: list[str] | None = None, approach: str = "kde", k: int = 5, ntest: int = 100, alpha: float = 0.05, time: str = "t", **kw) -> DataFrame:
+    """One row: value, independent, upper, lower of the (conditional) information of x and y against samples with shuffled columns.
+
+    `shuffle` names the columns that are permuted, each on its own (the first of x without it). `independent` is true if
+    the value is not above the upper quantile. Fewer than LEAST_ROWS complete rows give a null with status too_few_rows.
+    """
+    columns = [*x, *y, *(w or [])]
+    missing = [c for c in shuffle or [] if c not in columns]
+    if missing or len(set(columns)) < len(columns):
+        raise ValueError(f"columns to shuffle that are in no block: {missing}" if missing else "a column may be in one block only")
+    net = Network(df, columns, {v: [] for v in range(len(columns))}, taumax=1, approach=approach, k=k, ntest=ntest, alpha=alpha, time=time, **kw)
+    at = {c: (i, 0) for i, c in enumerate(columns)}
+    nodes = [[at[c] for c in block] for block in (x, y, w or [])]
+    one = Request("test", "cmi" if w else "mi", nodes[0], nodes[1], [], nodes[2], 0, True, shuffle=tuple(columns.index(c) for c in shuffle or x[:1]))
+    return net.run([one]).select("status", "n", "value", "independent", "upper", "lower")
+
+
 def history(results: DataFrame) -> DataFrame:
     """One row per target and lag: tit, cit, past, their sizes and dimensions, decompositions and the test of past."""
 

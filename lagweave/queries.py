@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.operators import density, filters, graph, prepare, simulate
-from lagweave.plans.network import Network, estimate_parents, history, information_of
+from lagweave.plans.network import Network, estimate_parents, history, independence, information_of, long_measures, network_of, shares
 from lagweave.sources import series
 from lagweave.streaming.windows import window_information
 
@@ -59,17 +59,22 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns or [c for c, t in df.dtypes if t == "double"]})
 
 
-def knn_sql(source: str, spaces: dict[str, list[str]], joint: list[str], result: str, k: int = K) -> str:
-    """Neighbour counts per subspace (name: columns) as psi averages m_<name>, psi of N and k, mean log radius; result is a SELECT list."""
+def knn_sql(source: str, spaces: dict[str, list[str]], joint: list[str], result: str, k: int = K, floor: bool = False) -> str:
+    """Neighbour counts per subspace (name: columns) as psi averages m_<name>, psi of N and k, mean log radius; result is a SELECT list.
+
+    Radii of 0 are 1e-14; with `floor` so are all smaller ones, as equal values may differ by rounding.
+    """
 
     def dist(cols):
         parts = ", ".join(f"abs(a.{c} - b.{c})" for c in cols)
         return f"greatest({parts})" if len(cols) > 1 else parts
 
     counts = ", ".join(f"count(*) FILTER ({dist(c)} < r.r * (1 - 1e-10)) AS k_{n}" for n, c in spaces.items())
+    kth = f"min({dist(joint)}, {k + 1})[{k + 1}]"
+    radius = f"greatest({kth}, 1e-14::DOUBLE)" if floor else f"CASE WHEN {kth} = 0 THEN 1e-14 ELSE {kth} END"
     means = ", ".join(f"(SELECT avg(v) FROM c JOIN psi ON psi.n = c.k_{n}) AS m_{n}" for n in spaces)
     return (
-        f"WITH {source}, r AS MATERIALIZED (SELECT a.id, CASE WHEN min({dist(joint)}, {k + 1})[{k + 1}] = 0 THEN 1e-14 ELSE min({dist(joint)}, {k + 1})[{k + 1}] END AS r "
+        f"WITH {source}, r AS MATERIALIZED (SELECT a.id, {radius} AS r "
         f"FROM p a, p b GROUP BY a.id), c AS MATERIALIZED (SELECT a.id, {counts} FROM p a JOIN r ON r.id = a.id, p b GROUP BY a.id), {PSI}, "
         f"m AS (SELECT {means}, (SELECT v FROM psi WHERE n = (SELECT count(*) FROM p)) AS psi_n, (SELECT v FROM psi WHERE n = {k}) AS psi_k, "
         f"(SELECT avg(ln(r)) FROM r) AS lr) SELECT {result} FROM m"
@@ -198,9 +203,111 @@ def calendar_7_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.regular(hourly, "ts", "7 HOURS").select(at, F.round("x", 6).alias("x"))
 
 
+@query(
+    "SELECT unnest(['hx', 'hy', 'hxy', 'ixy']) AS measure, round(unnest([hx, hy, hxy, ixy]), 6) AS value FROM ("
+    + knn_sql(DAILY_POINTS, {"x": ["x"], "y": ["z"]}, ["x", "z"], "psi_n - m_x + lr AS hx, psi_n - m_y + lr AS hy, psi_n - psi_k + 2 * lr AS hxy, psi_n + psi_k - m_x - m_y AS ixy", floor=True) + ")"
+)
+def measures_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(long_measures(information_of(_daily(spark, sf_dir), {"x": ["x0"], "y": ["x2"]}, ["hx", "hy", "hxy", "ixy"], k=K)))
+
+
+@query(
+    "SELECT round(ixy / hxy, 6) AS ixy, round(hx / hxy, 6) AS hx FROM ("
+    + knn_sql(DAILY_POINTS, {"x": ["x"], "y": ["y"]}, ["x", "y"], "psi_n - m_x + lr AS hx, psi_n - psi_k + 2 * lr AS hxy, psi_n + psi_k - m_x - m_y AS ixy") + ")"
+)
+def measures_as_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(shares(information_of(_daily(spark, sf_dir), {"x": ["x0"], "y": ["x1"]}, ["ixy", "hx", "hxy"], k=K), "hxy"))
+
+
+DECIMAL = (
+    "y AS (SELECT DISTINCT year(o_orderdate) + (dayofyear(o_orderdate) - 1) / 365.0::DOUBLE * 0.99 AS y FROM orders), "
+    "h AS (SELECT y, CAST(floor(y) AS INTEGER) AS w, (y - floor(y)) * CASE WHEN (floor(y) % 4 = 0 AND floor(y) % 100 <> 0) OR floor(y) % 400 = 0 THEN 8784 ELSE 8760 END AS n FROM y)"
+)
+
+
+@query(
+    f"WITH {DECIMAL} SELECT round(y, 6) AS y, CAST(make_timestamp(w, 1, 1, 0, 0, 0) + to_hours(CAST(round(n) AS BIGINT)) AS VARCHAR) AS by_hour, "
+    "CAST(make_timestamp(w, 1, 1, 0, 0, 0) + to_hours(168 * CAST(round(n / 168) AS BIGINT)) AS VARCHAR) AS by_week FROM h"
+)
+def decimal_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.year("o_orderdate") + (F.dayofyear("o_orderdate") - 1) / F.lit(365.0) * 0.99).alias("y")).distinct()
+    y = F.col("y")
+    return dates.select(F.round(y, 6).alias("y"), series.decimal_year(y).cast("string").alias("by_hour"), series.decimal_year(y, "weeks").cast("string").alias("by_week"))
+
+
+@query("SELECT DISTINCT l_orderkey % 400 AS i, CAST(((l_orderkey % 400) * 0.25 + 738000 - 719529) * 86400000000 AS BIGINT) AS micros FROM lineitem")
+def day_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") % 400).alias("i")).distinct()
+    return i.select("i", F.unix_micros(series.datenum(F.col("i") * 0.25 + 738000)).alias("micros"))
+
+
+@query("SELECT DISTINCT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS at, strftime(ts, '%-m/%-d/%y %-H:%M') AS text FROM events")
+def parsed_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.date_format(F.col("ts"), "M/d/yy H:mm")
+    texts = spark.read.parquet(f"{sf_dir}/events.parquet").select(text.alias("text")).distinct()
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', at)")
+    return texts.select("text", series.month_day_time(F.col("text")).cast("timestamp_ntz").alias("at")).select("text", seconds.cast("long").alias("at"))
+
+
+@query("SELECT event_id, CAST(epoch(date_trunc('minute', ts + INTERVAL 1 SECOND)) AS BIGINT) AS at FROM events")
+def minutes_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", series.minute_rounded(F.col("ts")).cast("timestamp_ntz").alias("at"))
+    return events.select("event_id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', at)").cast("long").alias("at"))
+
+
+@query(f"WITH {N_DAILY} SELECT t, round(CASE WHEN x2 <= 1 THEN x0 END, 6) AS value, x2 > 1 AS masked, round(CASE WHEN x2 > 1 THEN x0 END, 6) AS grey FROM n")
+def masked_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(filters.masked_series(_daily(spark, sf_dir), "x0", F.col("x2") > 1, keep=True))
+
+
 # Densities
 
 
+def _all_pairs_sql(kernel: str, before: str = "") -> str:
+    """t, p: mean over all points b of an expression in a, b and hh."""
+    return f"WITH {N_DAILY}, {before} q AS (SELECT a.t, avg({kernel}) AS p FROM n a, n b, hh GROUP BY a.t) SELECT t, round(p, 6) AS p FROM q"
+
+
+def _epanechnikov(a: str, h: str) -> str:
+    return f"CASE WHEN abs((a.{a} - b.{a}) / {h}) < 1 THEN 0.75 * (1 - pow((a.{a} - b.{a}) / {h}, 2)) ELSE 0 END / {h}"
+
+
+SCOTT = "hh AS (SELECT pow(count(*), -1.0 / 6) * stddev_samp(x0) AS h0, pow(count(*), -1.0 / 6) * stddev_samp(x1) AS h1 FROM n),"
+
+
+@query(_all_pairs_sql(f"({_epanechnikov('x0', 'h0')}) * ({_epanechnikov('x1', 'h1')})", SCOTT))
+def kde_epanechnikov_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(density.density(_daily(spark, sf_dir), ["x0", "x1"], "scott", "epanechnikov"))
+
+
+@query(_all_pairs_sql("exp(-(pow((a.x0 - b.x0) / h, 2) + pow((a.x2 - b.x2) / h, 2)) / 2) / (2 * pi()) / h / h", "hh AS (SELECT 0.3::DOUBLE AS h),"))
+def kde_one_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(density.density(_daily(spark, sf_dir), ["x0", "x2"], bandwidth=0.3))
+
+
+# H = f^2 times the sample covariance, f = n^(-1/6) for both rules in two dimensions; q = u' H^-1 u.
+FULL_H = (
+    "c AS (SELECT pow(count(*), -1.0 / 3) * var_samp(x0) AS s, pow(count(*), -1.0 / 3) * var_samp(x1) AS r, pow(count(*), -1.0 / 3) * covar_samp(x0, x1) AS m FROM n), "
+    "hh AS (SELECT s, r, m, s * r - m * m AS det FROM c),"
+)
+FULL_Q = "((r * pow(a.x0 - b.x0, 2) - 2 * m * (a.x0 - b.x0) * (a.x1 - b.x1) + s * pow(a.x1 - b.x1, 2)) / det)"
+
+
+@query(_all_pairs_sql(f"exp(-{FULL_Q} / 2) / (2 * pi()) / sqrt(det)", FULL_H))
+def kde_full_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(density.general_density(_daily(spark, sf_dir), ["x0", "x1"]))
+
+
+@query(_all_pairs_sql(f"CASE WHEN {FULL_Q} <= 1 THEN 2 / pi() * (1 - {FULL_Q}) ELSE 0 END / sqrt(det)", FULL_H))
+def kde_full_epanechnikov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(density.general_density(_daily(spark, sf_dir), ["x0", "x1"], name="epanechnikov"))
+
+
+@query(_all_pairs_sql(f"CASE WHEN {FULL_Q} <= 1 THEN 3 / pi() * pow(1 - {FULL_Q}, 2) ELSE 0 END / sqrt(det)", FULL_H))
+def kde_full_quartic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(density.general_density(_daily(spark, sf_dir), ["x0", "x1"], name="quartic"))
+
+
 def _kde_ctes(cols: list[str]) -> str:
     """q: density p at every t of n."""
     d = len(cols)
@@ -337,6 +444,17 @@ def mpid_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, graph.CausalGraph(CHEM6, taumax=12).mpid_condition([(0, -2)], [(1, -3)], (4, 0)))
 
 
+@query(
+    f"WITH RECURSIVE {DAG}, {_between_sql('a', 12)}, {_between_sql('b', 19)}, w AS (SELECT src_node AS node FROM g WHERE dst_node = 4 UNION SELECT src_node FROM g WHERE dst_node IN (SELECT node FROM a) "
+    "UNION SELECT src_node FROM g WHERE dst_node IN (SELECT node FROM b)), c AS (SELECT node FROM a UNION SELECT node FROM b), m AS (SELECT node, CASE node WHEN 12 THEN 'source1' WHEN 19 THEN 'source2' ELSE 'path' END AS part FROM c "
+    "UNION ALL SELECT node, 'condition' FROM w WHERE node <> 4 AND node NOT IN (SELECT node FROM c) UNION ALL SELECT 4, 'target') "
+    "SELECT CAST(node % 6 AS INTEGER) AS var, CAST(-(node // 6) AS INTEGER) AS lag, part FROM m"
+)
+def path_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph.CausalGraph(CHEM6, taumax=12).marks([(0, -2)], [(1, -3)], (4, 0))
+    return spark.createDataFrame([(v, lag, part) for (v, lag), part in rows], "var int, lag int, part string")
+
+
 @query(
     f"WITH RECURSIVE {DAG}, p(node, path) AS (SELECT 24, '0,-4' UNION ALL SELECT dst_node, path || ';' || (dst_node % 6) || ',' || (CASE WHEN dst_node // 6 = 0 THEN '0' ELSE '-' || (dst_node // 6) END) "
     "FROM g JOIN p ON src_node = node) SELECT path FROM p WHERE node = 4"
@@ -426,7 +544,79 @@ def detection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(filters.detection_rates(true, found, 4, 6))
 
 
-@query()
+OK_SQL = "abs(mit) > sig AND lag > 0"
+
+
+def _strongest_sql(source: str) -> str:
+    return (
+        f"SELECT src, dst, lag, mit, CASE WHEN lag = 0 OR (ok AND k = 1) THEN sig ELSE 1.0 END AS sig FROM (SELECT *, {OK_SQL} AS ok, "
+        f"row_number() OVER (PARTITION BY src, dst ORDER BY ({OK_SQL}) DESC, abs(mit) DESC, lag) AS k FROM {source})"
+    )
+
+
+PARENT_SETS = (
+    LINKS.replace("WITH l AS", "WITH l0 AS") + ", l AS (SELECT src, dst, lag, CASE WHEN lag = 0 THEN 0.0 ELSE mit END AS mit, sig FROM l0), "
+    "v AS (SELECT src, dst, lag, mit, CASE WHEN mit < 0.1 THEN max(mit) OVER () + 1e-5 ELSE sig END AS sig FROM l), "
+    f"r AS (SELECT src, dst, lag, mit, CASE WHEN lag = 0 OR lag = f THEN sig ELSE 1.0 END AS sig FROM (SELECT *, min(CASE WHEN {OK_SQL} THEN lag END) OVER (PARTITION BY src, dst) AS f FROM l)), "
+    f"a AS (SELECT 'all' AS name, * FROM l UNION ALL SELECT 'strongest', * FROM ({_strongest_sql('l')}) UNION ALL SELECT 'level_strongest', * FROM ({_strongest_sql('v')}) "
+    "UNION ALL SELECT 'nearest', * FROM r UNION ALL SELECT 'level', * FROM v) "
+    "SELECT name, dst, src, CAST(-lag AS INTEGER) AS lag FROM a WHERE abs(mit) > sig AND NOT (src = dst AND lag = 0)"
+)
+PARENTS_SQL = "e AS (SELECT dst, src, lag FROM l WHERE abs(mit) > sig AND NOT (src = dst AND lag = 0))"
+
+
+@query(LINKS + f", {PARENTS_SQL} SELECT l.src, l.dst, l.lag, round(mit, 6) AS mit, sig, e.lag IS NOT NULL AS present, round(CASE WHEN e.lag IS NOT NULL THEN mit ELSE 0 END, 6) AS strength FROM l LEFT JOIN e ON e.src = l.src AND e.dst = l.dst AND e.lag = l.lag AND e.lag <= 3")
+def strength_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark)
+    return _round(filters.cube(filters.parents(links).filter("lag >= -3"), links))
+
+
+@query(LINKS + ", s AS (SELECT * FROM l WHERE abs(mit) >= sig) SELECT src, dst, round(arg_max(mit, (abs(mit), -lag)), 6) AS mit, string_agg(lag, ',' ORDER BY abs(mit) DESC, lag) AS lags FROM s GROUP BY src, dst")
+def collapsed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(filters.collapsed(_links(spark)), "mit").withColumn("lags", F.concat_ws(",", F.col("lags").cast("array<string>")))
+
+
+@query(LINKS + f", {PARENTS_SQL}, r AS (SELECT l.dst, l.src, l.lag, row_number() OVER (PARTITION BY l.dst, l.src ORDER BY (l.lag > 0) DESC, mit DESC, l.lag) AS k FROM l JOIN e ON e.src = l.src AND e.dst = l.dst AND e.lag = l.lag) SELECT dst, src, CAST(-lag AS INTEGER) AS lag FROM r WHERE lag = 0 OR k = 1")
+def filtered_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filtered_network(filters.parents(_links(spark)), _links(spark))
+
+
+@query(LINKS + " SELECT src, dst, lag, round(mit, 6) AS mit, sig, abs(mit) >= sig AS is_significant FROM l WHERE lag >= 2")
+def flagged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(filters.flagged(_links(spark), 2))
+
+
+def _as_correlation(x: str) -> str:
+    return f"round(sqrt(1 - exp(-2 * CASE WHEN {x} < 0 THEN 1e-8 ELSE {x} END)), 6)"
+
+
+@query(LINKS + f" SELECT src, dst, lag, {_as_correlation('mit')} AS strength, {_as_correlation('sig')} AS threshold, abs(mit) >= sig AS is_significant, {_as_correlation('(mit - 0.05)')} AS lower, {_as_correlation('(mit + 0.05)')} AS upper FROM l WHERE lag > 0 OR src <> dst")
+def lag_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _links(spark).withColumns({"a": F.col("mit") - 0.05, "b": F.col("mit") + 0.05})
+    return _round(filters.lag_panels(links, correlation=True, bounds=("a", "b")))
+
+
+@query(LINKS + " SELECT src, dst, lag, round(mit, 6) AS strength, sig AS threshold, abs(mit) >= sig AS is_significant FROM l WHERE lag > 0")
+def lagged_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(filters.lag_panels(_links(spark), contemporaneous=False))
+
+
+@query(LINKS + " SELECT CASE src WHEN 0 THEN 'Cl' WHEN 1 THEN 'Na' ELSE CAST(src AS VARCHAR) END AS src, CASE dst WHEN 0 THEN 'Cl' WHEN 1 THEN 'Na' ELSE CAST(dst AS VARCHAR) END AS dst, lag FROM l")
+def labelled_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.labelled(_links(spark), {0: "Cl", 1: "Na"}, ["src", "dst"]).select("src", "dst", "lag")
+
+
+@query(
+    LINKS + f", {PARENTS_SQL}, pc AS (SELECT dst, src, lag FROM l WHERE lag <= 2), t AS (SELECT dst, src, lag FROM l WHERE lag = 1 AND src <= dst), "
+    "a AS (SELECT 'pc' AS network, * FROM pc UNION ALL SELECT 'mit', * FROM e UNION ALL SELECT 'pcmit', * FROM (SELECT * FROM pc INTERSECT SELECT * FROM e) UNION ALL SELECT 'true', * FROM t) "
+    "SELECT network, dst, src, CAST(-lag AS INTEGER) AS lag FROM a"
+)
+def named_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, lag = _links(spark), (-F.col("lag")).cast("int").alias("lag")
+    return filters.named_networks(links.filter("lag <= 2").select("dst", "src", lag), links, links.filter("lag = 1 AND src <= dst").select("dst", "src", lag))
+
+
+@query(PARENT_SETS)
 def parent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.parent_sets(_links(spark), 0.1)
 
@@ -458,13 +648,41 @@ def network_transfer_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.round("value", 6).alias("te"))
 
 
-@query()
+N_SHIFTED = N_DAILY + ", u AS (SELECT t, unnest([0, 1, 2]) AS v, unnest([x0, x1, x2]) AS x FROM n)"
+
+
+@query(
+    f"WITH {N_SHIFTED}, k AS (SELECT CAST(unnest([0, 1]) AS INTEGER) AS k) SELECT CAST(a.v AS INTEGER) AS i, CAST(b.v AS INTEGER) AS j, k, round(corr(b.x, a.x), 6) AS v "
+    "FROM u a, u b, k WHERE b.t = a.t + k GROUP BY 1, 2, 3"
+)
 def network_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _network(spark, sf_dir).correlation_set(2).withColumn("j", F.split("target", ",")[0].cast("int"))
     return r.select(F.col("source").cast("int").alias("i"), "j", F.col("tau").alias("k"), F.round("value", 6).alias("v"))
 
 
-@query()
+def cmi_sql(x: list, y: list, w: list | None = None, columns: str = "") -> str:
+    """SELECT of v, n and d: information of nodes (variable, lag) of the daily series, given w if there is one."""
+    nodes, spaces = [*x, *y, *(w or [])], {"x": len(x), "y": len(y), "w": len(w or [])}
+    at, names = 0, {}
+    for s, size in spaces.items():
+        names[s] = [f"c{i}" for i in range(at, at + size)]
+        at += size
+    lags = sorted({lag for _, lag in nodes})
+    cells = ", ".join(f"l{lags.index(lag)}.x{v} AS c{i}" for i, (v, lag) in enumerate(nodes))
+    joins = " ".join(f"JOIN n l{i} ON l{i}.t = b.t + ({lag})" for i, lag in enumerate(lags))
+    source = f"{N_DAILY}, p AS MATERIALIZED (SELECT b.t AS id, {cells} FROM n b {joins})"
+    joint = [c for part in names.values() for c in part]
+    if w:
+        v = knn_sql(source, {"xw": names["x"] + names["w"], "yw": names["y"] + names["w"], "w": names["w"]}, joint, "m_w + psi_k - m_xw - m_yw AS v, (SELECT count(*) FROM p) AS n", floor=True)
+    else:
+        v = knn_sql(source, {"x": names["x"], "y": names["y"]}, joint, "psi_n + psi_k - m_x - m_y AS v, (SELECT count(*) FROM p) AS n", floor=True)
+    return f"SELECT {columns}v, n, {len(nodes)} AS d FROM ({v})"
+
+
+TE_MATRIX = " UNION ALL ".join(cmi_sql([(j, 0)], [(i, -1)], [(j, -1)], f"{i} AS i, {j} AS j, ") for i in range(3) for j in range(3) if i != j)
+
+
+@query(f"SELECT i, j, round(v, 6) AS te FROM ({TE_MATRIX})")
 def network_transfer_entropy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _network(spark, sf_dir).te_set().withColumn("j", F.split("target", ",")[0].cast("int"))
     return r.select(F.col("source").cast("int").alias("i"), "j", F.round("value", 6).alias("te"))
@@ -479,9 +697,39 @@ def network_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.run(net.total(1)).select(F.round("value", 6).alias("total"))
 
 
-@query()
+PAIRWISE = " UNION ALL ".join(
+    [cmi_sql([(j, 0)], [(i, -1)], [(v, -1) for v in range(3) if v != i], f"'pairwise' AS kind, '{j},0' AS target, '{i}' AS source, ") for i in range(3) for j in range(3)]
+    + [cmi_sql([(j, 0)], [(v, -1) for v in range(3)], None, f"'total' AS kind, '{j},0' AS target, '0,-1;1,-1;2,-1' AS source, ") for j in range(3)]
+)
+
+
+@query(f"SELECT kind, target, source, n, CAST(d AS INTEGER) AS d, round(v, 6) AS value FROM ({PAIRWISE})")
 def network_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _network(spark, sf_dir).pairwise_set()
+    return _network(spark, sf_dir).pairwise_set().select("kind", "target", "source", "n", "d", F.round("value", 6).alias("value"))
+
+
+MI_SET = " UNION ALL ".join(cmi_sql([(j, 0)], [(i, 0)], None, f"'{i}' AS source, '{j},0' AS target, ") for i in range(3) for j in range(3) if i < j)
+
+
+@query(f"SELECT source, target, n, round(v, 6) AS value FROM ({MI_SET})")
+def network_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _network(spark, sf_dir).mi_set().select("source", "target", "n", F.round("value", 6).alias("value"))
+
+
+# A node of FULL3 at lag 1 has its parents at lag 2, so these are the conditions of momentary information transfer.
+LAG_MIT = " UNION ALL ".join(
+    [cmi_sql([(1, 0)], [(0, -k)], None, f"'mi' AS kind, {k} AS tau, ") for k in range(3)]
+    + [cmi_sql([(1, 0)], [(0, -k)], [n for n in dict.fromkeys([*[(v, -k - 1) for v in range(3)], *[(v, -1) for v in range(3)]]) if n != (0, -k)], f"'mit' AS kind, {k} AS tau, ") for k in range(3)]
+)
+
+
+@query(f"SELECT kind, CAST(tau AS INTEGER) AS tau, n, CAST(d AS INTEGER) AS d, round(v, 6) AS value FROM ({LAG_MIT})")
+def network_two_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lag functions of the first on the second variable, asked for one by one."""
+    net = _network(spark, sf_dir)
+    asked = [r for k in range(3) for r in (*net.two_node((0, -k), (1, 0), conditioned=False), *net.two_node((0, -k), (1, 0), causalpath=False))]
+    kind = F.when(F.col("d") == 2, "mi").otherwise("mit").alias("kind")
+    return net.run(asked).select(kind, "tau", "n", "d", F.round("value", 6).alias("value"))
 
 
 @query()
@@ -512,6 +760,63 @@ def causal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(_network(spark, sf_dir).cit_set([0, 1, 2], [0], 5, pid=True))
 
 
+def _history_sql(target: int, taus: range) -> str:
+    """tau, tit, cit, past of FULL3: everything one step back is immediate, everything one step beyond tau is distant."""
+    near, each = [(v, -1) for v in range(3)], []
+    for tau in taus:
+        far = [(v, -tau - 1) for v in range(3)]
+        three = {"tit": (near, None), "cit": (near, far), "past": (far, None)}
+        values = ", ".join(f"(SELECT v FROM ({cmi_sql([(target, 0)], y, w)})) AS {k}" for k, (y, w) in three.items())
+        each.append(f"SELECT '{target},0' AS target, CAST({tau} AS INTEGER) AS tau, {values}")
+    return " UNION ALL ".join(each)
+
+
+@query(f"SELECT target, tau, round(tit, 6) AS tit, round(cit, 6) AS cit, round(past, 6) AS past FROM ({_history_sql(0, range(1, 4))})")
+def causal_history_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(history(_network(spark, sf_dir).cit_set([0, 1, 2], [0], 3)).select("target", "tau", "tit", "cit", "past"))
+
+
+@query(f"SELECT target, tau, round(tit, 6) AS tit, round(cit, 6) AS cit, round(past, 6) AS past FROM ({_history_sql(1, range(1, 4))})")
+def causal_history_markov_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(history(_network(spark, sf_dir).cit_set([0, 1, 2], [1], 3, markov=True)).select("target", "tau", "tit", "cit", "past"))
+
+
+@query(
+    f"SELECT target, tau, round(cit, 6) AS immediate, round(past, 6) AS distant, round(cit + past, 6) AS total, round(past / (cit + past), 6) AS share FROM ({_history_sql(2, range(1, 3))})"
+)
+def history_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(filters.history_curves(history(_network(spark, sf_dir).cit_set([0, 1, 2], [2], 2))))
+
+
+@query(f"SELECT target, tau, round(CASE WHEN cit / past >= 1 THEN cit / past END, 4) AS from_one, round(CASE WHEN cit / past < 1 THEN cit / past END, 4) AS below_one FROM ({_history_sql(2, range(1, 3))})")
+def history_split_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filters.split_ratio(history(_network(spark, sf_dir).cit_set([0, 1, 2], [2], 2)))
+    return out.select("target", "tau", F.round("from_one", 4).alias("from_one"), F.round("below_one", 4).alias("below_one"))
+
+
+TABLE_EDGES = [(0, 0, -1), (0, 1, -1), (1, 1, -1), (1, 0, 0), (2, 2, -1), (2, 2, -2)]
+TABLE_TOTALS = " UNION ALL ".join(cmi_sql([(j, 0)], [(s, lag) for d, s, lag in TABLE_EDGES if d == j and lag], None, f"'{j},0' AS target, ") for j in range(3))
+
+
+@query(f"SELECT target, n, CAST(d AS INTEGER) AS d, round(v, 6) AS value FROM ({TABLE_TOTALS})")
+def network_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a network whose edges and strengths are tables; its lag-0 edge is left out."""
+    edges = spark.createDataFrame(TABLE_EDGES, "dst int, src int, lag int")
+    strengths = edges.select("src", "dst", (-F.col("lag")).alias("lag"), F.lit(0.5).alias("value"))
+    net = network_of(_daily(spark, sf_dir), ["x0", "x1", "x2"], edges, strengths, lagged_only=True, taumax=5, k=K)
+    return net.run([r for j in range(3) for r in net.total(j)]).select("target", "n", "d", F.round("value", 6).alias("value"))
+
+
+@query()
+def independence_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of quantity and price, and of the same given discount, with one and with two shuffled columns."""
+    daily, out = _daily(spark, sf_dir), []
+    for w, shuffle in (([], None), (["x2"], None), (["x2"], ["x0", "x1"])):
+        one = independence(daily, ["x0"], ["x1"], w, shuffle, approach="knn", k=K, ntest=20)
+        out.append(one.withColumns({"given": F.lit(",".join(w)), "shuffled": F.lit(",".join(shuffle or ["x0"]))}))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query()
 def causal_history_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(_network(spark, sf_dir).cit_set([0, 1, 2], [1], 5, markov=True))

@@ -8,8 +8,8 @@ import pytest
 
 from lagweave import queries
 from lagweave.functions import information as info
-from lagweave.operators import density, graph, prepare, simulate
-from lagweave.plans.network import Network, Request, history, matrix
+from lagweave.operators import density, filters, graph, prepare, simulate
+from lagweave.plans.network import Network, Request, history, independence, matrix, network_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -250,3 +250,81 @@ def test_network_matrices_hold_all_pairs(spark, monkeypatch):
     corr = {(r["i"], r["j"], r["k"]): r["v"] for r in queries.QUERIES["network_correlation_matrix"](spark, "").collect()}
     assert len(corr) == 18
     assert all(abs(v - np.corrcoef(x[k:, j], x[: len(x) - k, i])[0, 1]) < 1e-5 for (i, j, k), v in corr.items())
+
+
+def test_independence_of_a_table(spark):
+    r = np.random.default_rng(4)
+    x, w = r.normal(size=400), r.normal(size=400)
+    cells = [(i, float(a), float(a + 0.3 * r.normal()), float(b), None) for i, (a, b) in enumerate(zip(x, w, strict=True))]
+    df = spark.createDataFrame(cells, "t long, x double, y double, w double, empty double")
+    for approach in ("knn", "kde"):
+        linked = independence(df, ["x"], ["y"], approach=approach, ntest=20).first()
+        assert not linked["independent"] and linked["value"] > linked["upper"] > linked["lower"]
+        both = independence(df, ["x"], ["y"], ["w"], ["x", "y"], approach=approach, ntest=20).first()
+        assert not both["independent"] and both["n"] == 400
+    # With nothing but w shuffled, x and y stay as they are: all samples are about as informative as the series.
+    only_w = independence(df, ["x"], ["y"], ["w"], ["w"], approach="knn", ntest=20).first()
+    assert only_w["lower"] - 0.2 < only_w["value"] < only_w["upper"] + 0.2
+    assert independence(df, ["x"], ["empty"], ntest=2).first()["status"] == "too_few_rows"
+    for bad in ({"shuffle": ["t"]}, {"w": ["x"]}):
+        with pytest.raises(ValueError):
+            independence(df, ["x"], ["y"], **bad)
+
+
+def test_network_of_tables_without_rows_or_with_unknown_variables(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0)], "t long, a double, b double")
+    none = spark.createDataFrame([], "dst int, src int, lag int")
+    net = network_of(df, ["a", "b"], none, spark.createDataFrame([], "src int, dst int, lag int, value double"))
+    assert net.parents == {0: [], 1: []} and net.strengths.shape == (2, 2, 1)
+    edges = spark.createDataFrame([(0, 1, 0), (0, 1, -2), (0, 1, -2)], "dst int, src int, lag int")
+    assert network_of(df, ["a", "b"], edges).parents == {0: [(1, 0), (1, -2)], 1: []}
+    assert network_of(df, ["a", "b"], edges, lagged_only=True).parents == {0: [(1, -2)], 1: []}
+    for row in ((0, 2, -1), (0, 1, 1)):
+        with pytest.raises(ValueError):
+            network_of(df, ["a", "b"], spark.createDataFrame([row], "dst int, src int, lag int"))
+
+
+def test_only_the_strongest_conditions_stay():
+    strengths = np.zeros((6, 6, 8))
+    for s in range(6):
+        strengths[s] = 0.1 * (s + 1)
+    g = graph.CausalGraph(queries.CHEM6, strengths, 20)
+    w, _, path = g.cit_components([(v, -3) for v in range(6)], (4, 0))
+    own = [n for n in w if n in g.parents((4, 0))]
+    score = {n: max(g.weight(n, c) for c in g.children(n) if c in path) for n in w if n not in own}
+    kept = g.strongest_conditions(w, path, (4, 0), 2)
+    gone = [n for n in w if n not in kept]
+    assert set(own) <= set(kept) and len(kept) == len(own) + 2 and gone
+    assert min(score[n] for n in kept if n not in own) >= max(score[n] for n in gone)
+    assert g.strongest_conditions(w, path, (4, 0), 99) == w
+
+
+def test_blocks_are_checked():
+    info.checked({"x": [0], "y": [1], "z": [2], "w": [3]}, 4)
+    for bad in ({"y": [0]}, {"x": [0], "z": [1]}, {"x": []}, {"x": [0], "y": [0]}, {"x": [4]}, {"x": [0], "q": [1]}):
+        with pytest.raises(ValueError):
+            info.checked(bad, 4)
+
+
+def test_masked_series_and_labels(spark):
+    df = spark.createDataFrame([(0, 1.0, True), (1, 2.0, False), (2, None, None)], "t long, x double, m boolean")
+    got = filters.masked_series(df, "x", df["m"], keep=True).orderBy("t").collect()
+    assert [tuple(r) for r in got] == [(0, None, True, 1.0), (1, 2.0, False, None), (2, None, False, None)]
+    assert [r["t"] for r in filters.labelled(df, {0: "zero"}, ["t"]).orderBy("t").collect()] == ["1", "2", "zero"]
+
+
+def test_full_bandwidth_equals_product_kernel_if_diagonal(spark):
+    points = np.random.default_rng(5).normal(size=(60, 2))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "t long, x double, y double")
+    got = dict(density.general_density(df, ["x", "y"], matrix=np.eye(2) * 0.25).collect())
+    same = dict(density.density(df, ["x", "y"], bandwidth=0.5).collect())
+    assert got.keys() == same.keys() and all(math.isclose(got[t], same[t], rel_tol=1e-9) for t in got)
+    empty = df.filter("t < 0")
+    assert not density.general_density(empty, ["x", "y"]).count() and not density.density(empty, ["x"], bandwidth=1.0).count()
+
+
+def test_distances_of_rounding_are_none():
+    x = np.repeat(np.arange(20.0), 10)
+    noisy = x + np.tile(np.arange(10) * 1e-16, 20) * (x > 0)
+    m, n = (np.stack([v, v[::-1]], axis=1) for v in (x, noisy))
+    assert math.isclose(info.mutual_information(m, 1, 5), info.mutual_information(n, 1, 5), abs_tol=1e-12)
