@@ -104,6 +104,23 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_bitmaps_never_part_a_pair_that_links():
+    r = np.random.default_rng(5)
+    for size in (1, 3, 40, 900, 6000):
+        for changed in (0, 1, size // 8, size // 4, size):
+            x = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            y = np.unique(np.r_[x[changed:], r.integers(0, 1 << 63, changed, dtype=np.uint64) * np.uint64(2)])
+            apart = sum(int(v).bit_count() for v in (ngram_join._bitmap(x) ^ ngram_join._bitmap(y)).view(np.uint64))
+            assert apart <= len(np.setxor1d(x, y))
+
+
+def test_near_duplicates_of_ids_with_texts_of_one_size(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " x"), (3, texts[1] + " x"), (4, texts[2])]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 @pytest.mark.parametrize("block", [400, 1 << 21])
 def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
     """Copies around the threshold: one group of several components, compared in blocks."""
