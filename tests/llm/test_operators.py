@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import os
+import pathlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagweave.llm import exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_rules, toxicity, url_templates, warc_archive
+from lagweave.llm import common, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_rules, toxicity, url_templates, warc_archive
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
@@ -142,6 +144,51 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
     assert len(set(want)) > 20
 
 
+def test_wide_lookup_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    rows = [(i, f"t{i}") for i in range(3000)] + [(None, "n"), (7, "again"), (-9, "x")]
+    left = spark.createDataFrame(rows, "k long, text string")
+    for keys in ([*range(0, 3000, 40), 5_000_000], [*range(0, 3000, 40), None], [None] + [-i for i in range(1, 30)]):
+        right = common.pin(spark.createDataFrame([(k,) for k in keys], "k long"))
+        for how, want in (("left_anti", [r for r in rows if r[0] not in keys]), ("left_semi", [r for r in rows if r[0] in keys])):
+            got = common.lookup_wide(left, right, "k", how)
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+        two = common.pin(right.withColumn("v", F.lit(1)).union(right.withColumn("v", F.lit(2))))
+        got = common.lookup_wide(left, two, "k", "inner").select("k", "text", "v").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(str((*r, v)) for r in rows if r[0] in keys for v in (1, 2))
+
+
+def test_texts_are_not_shuffled_beyond_the_broadcast_bound(spark, monkeypatch, tmp_path):
+    """With more copies than may be broadcast, only texts that may have one are dealt out; pins leave no shuffle files."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{v}" for v in r.integers(0, 1 << 40, 60)) for _ in range(400)]
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[:20]] + texts[:20]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    want = {x["doc_id"] for x in ngram_join.one_of_each(rows).collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common.lookup_join, "__defaults__", (None, "left", 10))
+    kept = ngram_join.one_of_each(rows)
+    assert {x["doc_id"] for x in kept.collect()} == want == set(range(400))
+    # Texts that are dealt out come through the bits of the keys.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bits" in plan and "LeftSemi" in plan
+
+
+def test_pins_leave_no_shuffle_files(spark):
+    def files():
+        dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {str(f) for d in dirs for f in pathlib.Path(d.toString()).glob("*/shuffle_*.data")}
+
+    before = files()
+    pinned = common.pin(spark.range(20_000).repartition(3, "id"))
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and pinned.count() == 20_000
+
+
 def test_components_of_many_edges(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90)], "x long, y long")
     want = {i: 0 for i in range(1, 31)} | {100: 90}
