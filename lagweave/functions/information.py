@@ -15,6 +15,10 @@ EULER = 0.5772156649015329
 ROWS = 256
 #: Distances this near to the radius, relatively, are the radius itself: rounding decides no count.
 TIE = 1e-10
+#: Samples of more points, in at most so many columns, are searched by a tree of leaves of so many points, if only single columns are counted.
+TREE_POINTS, TREE_COLUMNS, LEAF = 4096, 3, 64
+#: Distances that the search holds at a time.
+HELD = 1 << 20
 MEASURES = (
     "hx", "hy", "hz", "hw", "hxy", "hx_w", "hy_w", "hxw", "hyw", "hxyw", "ixy", "ixy_w", "ixz", "iyz", "ixyz", "ii",
     "rmmi", "isource", "rmin", "r", "s", "uxz", "uyz",
@@ -33,6 +37,9 @@ def neighbour_statistics(points: np.ndarray, k: int, spaces: list[list[int]], st
     n = len(points)
     if k >= n:
         raise ValueError(f"k = {k} needs more than {n} points")
+    if n > TREE_POINTS and points.shape[1] <= TREE_COLUMNS and start == 0 and stop is None and all(len(c) == 1 for c in spaces):
+        r = np.maximum(_radii(points, k), 1e-14)
+        return r, [_nearer(points[:, c[0]], r * (1 - TIE)) for c in spaces]
     queries = points[start:stop]
     radius, counts = np.empty(len(queries)), [np.empty(len(queries), np.int64) for _ in spaces]
     for at in range(0, len(queries), ROWS):
@@ -52,6 +59,72 @@ def neighbour_statistics(points: np.ndarray, k: int, spaces: list[list[int]], st
     return radius, counts
 
 
+def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    out = np.abs(queries[:, :1] - points[None, :, 0])
+    for j in range(1, points.shape[1]):
+        np.maximum(out, np.abs(queries[:, j : j + 1] - points[None, :, j]), out=out)
+    return out
+
+
+def _leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Numbers of the points of boxes of at most `size`, cut at the median of the column of the largest spread."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        own = points[at]
+        half = len(at) // 2
+        order = np.argpartition(own[:, np.argmax(np.ptp(own, axis=0))], half)
+        todo += [at[order[:half]], at[order[half:]]]
+    return out
+
+
+def _radii(points: np.ndarray, k: int) -> np.ndarray:
+    """The k-th neighbour's max-norm distance of each point, the same number as by comparing all pairs, in bounded memory.
+
+    Its k-th neighbour within its leaf bounds it; then only points in boxes within that bound are compared.
+    """
+    leaves = _leaves(points, max(LEAF, 4 * (k + 1)))
+    low, high = (np.array([f(points[at], axis=0) for at in leaves]) for f in (np.min, np.max))
+    radius = np.empty(len(points))
+    for own in leaves:
+        bound = np.partition(_distances(points[own], points[own]), k, axis=1)[:, k]
+        radius[own] = bound
+        open_ = own[bound > 1e-14]  # nearer ones count as 1e-14
+        if not len(open_):
+            continue
+        wide = radius[open_][:, None] * (1 + 1e-9)
+        near, far = (np.nextafter(v, w) for v, w in (((points[open_] - wide).min(0), -np.inf), ((points[open_] + wide).max(0), np.inf)))
+        others = np.concatenate([leaves[i] for i in np.flatnonzero(((low <= far) & (high >= near)).all(1))])
+        others = points[others]
+        others = others[((others <= far) & (others >= near)).all(1)]
+        step = max(1, HELD // len(others))
+        for at in range(0, len(open_), step):
+            some = open_[at : at + step]
+            radius[some] = np.partition(_distances(points[some], others), k, axis=1)[:, k]
+    return radius
+
+
+def _nearer(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """For each x, the number of xs nearer than its r, itself included, by the rounded differences."""
+    values, copies = np.unique(x, return_counts=True)
+    before = np.r_[0, np.cumsum(copies)]
+
+    def settled(at, inside):
+        """The first place of values that is not inside, from a place near to it."""
+        while len(i := np.flatnonzero((at < len(values)) & inside(np.minimum(at, len(values) - 1)))):
+            at[i] += 1
+        while len(i := np.flatnonzero((at > 0) & ~inside(np.maximum(at - 1, 0)))):
+            at[i] -= 1
+        return at
+
+    stop = settled(np.searchsorted(values, x + r), lambda at: values[at] - x < r)
+    start = settled(np.searchsorted(values, x - r), lambda at: x - values[at] >= r)
+    return before[stop] - before[start]
+
+
 def neighbours(points: np.ndarray, k: int, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and max-norm distances of the k nearest of each point (itself first), ties by number."""
     queries = points[start:stop]

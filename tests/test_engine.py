@@ -10,6 +10,7 @@ from lagweave import queries
 from lagweave.functions import information as info
 from lagweave.operators import density, filters, graph, prepare, simulate
 from lagweave.plans.network import Network, Request, history, independence, matrix, network_of
+from lagweave.streaming.windows import window_information
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +48,44 @@ def test_gaussian_information_and_symmetry():
     assert math.isclose(got, info.information(m, {"x": [0], "y": [1]}, "knn", 5)["ixy"], abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["spread", "copies", "steps", "rounded", "equal"])
+def test_tree_search_equals_comparing_all_pairs(monkeypatch, kind):
+    r = np.random.default_rng(4)
+    m = np.c_[np.round(r.exponential(50, 1500), 2), r.integers(0, 300, 1500)].astype(float)
+    points = {"spread": r.standard_cauchy((1500, 3)), "copies": np.repeat(m[:300], 5, axis=0), "steps": np.round(m / 20) * 0.1,
+              "rounded": r.normal(size=(1500, 2)) * 1e-13 + 1e3, "equal": np.zeros((1500, 2))}[kind]
+    spaces = [[j] for j in range(points.shape[1])]
+    for k in (1, 5, 40):
+        radius, counts = info.neighbour_statistics(points, k, spaces)
+        monkeypatch.setattr(info, "TREE_POINTS", 100)
+        tree_radius, tree_counts = info.neighbour_statistics(points, k, spaces)
+        monkeypatch.undo()
+        assert (radius == tree_radius).all() and all((a == b).all() for a, b in zip(counts, tree_counts, strict=True))
+
+
+def test_tree_search_holds_few_distances(monkeypatch):
+    """All pairs of 256 rows and 60,000 points are 120 MB at a time, and the whole takes minutes."""
+    m = np.random.default_rng(6).normal(size=(60_000, 2))
+    monkeypatch.setattr(info, "ROWS", 1 << 40)  # the search by all pairs would need 29 GB
+    assert abs(info.mutual_information(m, 1, 5)) < 0.02
+
+
+def test_sliding_information_of_windows(spark):
+    r = np.random.default_rng(9)
+    data = [(1_700_000_000 + int(t), float(a), int(b)) for t, a, b in zip(r.integers(0, 200_000, 400), r.normal(size=400), r.integers(0, 9, 400), strict=True)]
+    df = spark.createDataFrame([*data, (1_700_000_000, None, 1), (1_800_000_000, 1.0, 2)], "s long, pairs double, start int").selectExpr("timestamp_seconds(s) AS ts", "pairs", "start")
+    got = {int(x["start"].timestamp()): (x["n"], x["mi"]) for x in window_information(df, "pairs", "start").collect()}
+    want = {}
+    for s, a, b in [*data, (1_800_000_000, 1.0, 2)]:
+        for first in range(s - s % 21_600 - 64_800, s + 1, 21_600):
+            want.setdefault(first, []).append((a, b))
+    assert set(got) == set(want)
+    for first, pairs in want.items():
+        n, mi = got[first]
+        assert n == len(pairs)
+        assert mi is None if n <= 5 else math.isclose(mi, info.mutual_information(np.array(pairs), 1, 5), abs_tol=1e-9)
+
+
 def test_conditional_information_of_a_chain_vanishes():
     r = np.random.default_rng(1)
     x = r.normal(size=2000)
