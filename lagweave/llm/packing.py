@@ -9,6 +9,8 @@ are merged, a bounded number of partitions at a time, by cutting their pieces to
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -22,60 +24,74 @@ from lagweave.llm.common import pin, table, union_all
 WINDOW, OPEN_WINDOWS = 2048, 64
 #: Leftovers of so many partitions are merged by one task at a time.
 FAN_IN = 32
-#: Words of which a worker remembers the ids at most.
+#: Words of which a worker remembers the ids, at most as many again from before.
 CACHED_WORDS = 400_000
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Words of ASCII without apostrophes, which start contractions, and of Latin-1 letters; the pieces that the tokenizer's pattern cuts them into.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_PLAIN, _PIECE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"), re.compile(f"{_LETTERS}|[0-9]|[!-&(-/:-@\\[-`{{-~]+")
+#: The characters that stand for the bytes 161 to 255 in the tokenizer's vocabulary are their Latin-1 ones, but for 173; others are moved behind 255.
+_MOVED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+class _Known(dict):
+    """Ids of words; a word that is missing is taken from the generation before, or learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        got = self[word] = self.learn(word) if got is None else got
+        return got
+
+    def turn(self) -> None:
+        """What is here becomes the generation before, so that words in use are kept and others go."""
+        self.old = dict(self)
+        self.clear()
+
+
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, one white-space separated word at a time.
 
     Exact for a tokenizer that drops white space and never joins across it; ids of a word are computed
-    once by the tokenizer itself and remembered. A word that is letters and then `.` or `,` is the ids of
-    the letters and of the mark, which the tokenizer's split pattern separates as well; ASCII letters are
-    looked up in lower case, as the tokenizer lower-cases them first.
+    once by the tokenizer itself and remembered. Words of ASCII and Latin-1 letters are cut into letters, digits
+    and marks, as the tokenizer's split pattern does, and go to its model piece by piece in lower case, as it
+    lower-cases them first, with the characters that stand for their bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known = _Known(self._learn)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, word: str) -> bytes:
-        if word[-1] in ".," and len(word) > 1 and word.isascii() and word[-2].isalpha():
-            got = self._letters(word[:-1]) + self._letters(word[-1])
-        else:
-            got = self._letters(word)
-        self.known[word] = got
-        return got
-
-    def _letters(self, word: str) -> bytes:
-        key = word.lower() if word.isascii() else word
-        got = self.known.get(key)
-        if got is None:
-            if key.isascii() and key.isalpha():
-                got = np.array([t.id for t in self.tokenizer.model.tokenize(key)], dtype="<u4").tobytes()
-            else:
-                got = self._whole(word)
-            self.known[key] = got
-        return got
+        if not _PLAIN.fullmatch(word) or "<|" in word:  # added tokens are found before the split
+            return self._whole(word)
+        pieces = _PIECE.findall(word.lower())
+        if pieces[0] != word:
+            return b"".join([self.known[p] for p in pieces])
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_MOVED)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            self.known.turn()
         if any([c in text for c in _SEPARATORS]):  # str.split() cuts at these and drops them, the tokenizer has ids for them
             return self._whole(text)
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known[w] if w in known else self._learn(w) for w in words])
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 _word_ids: dict[str, WordIds] = {}
