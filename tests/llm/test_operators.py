@@ -554,3 +554,15 @@ def test_pipeline_stages(spark):
     assert {x["doc_id"] for x in kept[2].collect()} == {None, *range(40)}
     mixed = kept[3].groupBy("doc_id").count().collect()
     assert max(x["count"] for x in mixed) <= 2 and kept[4].select("doc_id").distinct().count() == len(mixed)
+
+
+def test_pipeline_run_keeps_one_stage(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    pinned = []
+    monkeypatch.setattr(c, "pin", lambda df, name: pinned.append(common.pin(df, name)) or pinned[-1])
+    monkeypatch.setattr(c, "STAGES", [(n, lambda spark, docs, sf_dir: docs.filter("doc_id >= 0")) for n in "abcd"])
+    count = c.table(spark, SF, "documents").count()
+    assert c.run(spark, SF).count() == count
+    there = [fs.exists(p) for fs, p in map(common.hadoop_path, pinned)]
+    assert there == [False, False, True]
