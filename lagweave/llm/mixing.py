@@ -29,7 +29,6 @@ def word_count(text: Column) -> Column:
 
 def _indexed(sources: DataFrame) -> DataFrame:
     """sources (pinned, one row each) with their place by code point, null last; ranges are counted apart, then offset."""
-    spark = sources.sparkSession
     parts = max(1, min(256, sources.count() // 10_000))
     key = F.encode("source", "UTF-8")
     ranged = sources.withColumn("_null", F.col("source").isNull())
@@ -37,13 +36,11 @@ def _indexed(sources: DataFrame) -> DataFrame:
     ranged = pin(ranged.select("*", F.monotonically_increasing_id().alias("_id")), "sources")
     part = F.shiftright("_id", 33)
     counts = ranged.groupBy(part.alias("p")).count().collect()  # at most 256 rows
-    offsets, total = [], 0
-    for r in sorted(counts, key=lambda r: r["p"]):
-        offsets.append((r["p"], total))
-        total += r["count"]
-    start = spark.createDataFrame(offsets, "p long, start long")
-    within = F.col("_id") - F.shiftleft(part, 33)
-    return ranged.join(F.broadcast(start), part == F.col("p"), "left").withColumn("place", F.col("start") + within).drop("_null", "_id", "p", "start")
+    sizes = {r["p"]: r["count"] for r in counts}
+    before = [sum(sizes.get(q, 0) for q in range(p)) for p in range(max(sizes, default=0) + 1)]
+    # Not a table of the driver's rows: that would start Python workers of another kind on the executors, which stay.
+    start = F.get(F.array(*map(F.lit, before)).cast("array<long>"), part.cast("int"))
+    return ranged.withColumn("place", start + F.col("_id") - F.shiftleft(part, 33)).drop("_null", "_id")
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:

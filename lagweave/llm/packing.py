@@ -9,8 +9,12 @@ are merged, a bounded number of partitions at a time, by cutting their pieces to
 from __future__ import annotations
 
 import bisect
+import contextlib
+import ctypes
+import gc
 import re
 import struct
+import threading
 import zlib
 
 import numpy as np
@@ -26,6 +30,12 @@ WINDOW, OPEN_WINDOWS = 2048, 64
 FAN_IN = 32
 #: Words of which a worker remembers the ids, at most as many again from before.
 CACHED_WORDS = 400_000
+#: Bytes of those words and ids, as words may be of any length.
+CACHED_BYTES = 16 << 20
+#: Texts that a worker turns from Arrow into Python's strings at a time.
+TEXTS = 256
+#: Seconds without a task after which a worker forgets its words and gives memory back.
+REST_S = 1.0
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,16 +53,17 @@ class _Known(dict):
 
     def __init__(self, learn):
         super().__init__()
-        self.learn, self.old = learn, {}
+        self.learn, self.old, self.held = learn, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         got = self[word] = self.learn(word) if got is None else got
+        self.held += len(word) + len(got)
         return got
 
     def turn(self) -> None:
         """What is here becomes the generation before, so that words in use are kept and others go."""
-        self.old = dict(self)
+        self.old, self.held = dict(self), 0
         self.clear()
 
 
@@ -87,7 +98,7 @@ class WordIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS or self.known.held > CACHED_BYTES:
             self.known.turn()
         if any([c in text for c in _SEPARATORS]):  # str.split() cuts at these and drops them, the tokenizer has ids for them
             return self._whole(text)
@@ -103,6 +114,38 @@ def _ids_of(path: str) -> WordIds:
     return _word_ids[path]
 
 
+_rest: list[threading.Timer] = []
+
+
+def _give_back() -> None:
+    _word_ids.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of the GNU C library only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def _working():
+    """A task in a worker. Workers are kept for later tasks: words are remembered from one to the next, not while other stages run."""
+    while _rest:
+        _rest.pop().cancel()
+    try:
+        yield
+    finally:
+        _rest.append(threading.Timer(REST_S, _give_back))
+        _rest[-1].daemon = True
+        _rest[-1].start()
+
+
+def _texts(batches):
+    """(id, text) of the rows, turned into Python's objects a few at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, TEXTS):
+            yield from zip(*[batch.column(i).slice(first, TEXTS).to_pylist() for i in (0, 1)], strict=True)
+        del batch  # before the next one comes
+
+
 class OpenWindows:
     """A fixed number of open windows; add() yields the windows it had to emit, as lists of pieces."""
 
@@ -168,25 +211,32 @@ def pack(docs: DataFrame, tokenizer: str, eos: int = 1, window: int = WINDOW, op
     """
 
     def place(batches):
+        with _working():
+            yield from placed_rows(batches)
+
+    def placed_rows(batches):
         number = TaskContext.get().partitionId()
         ids_of, windows, rows = _ids_of(tokenizer), OpenWindows(window, open_windows), _Rows(number << 32)
         end, size = np.array([eos], dtype="<u4").tobytes(), window * 4
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = (ids_of(text) if text else b"") + end
-                tokens, at = len(ids) // 4, 0
-                while len(ids) - at >= size:
-                    rows.window([(doc, at // 4, tokens, ids[at : at + size])])
-                    at += size
-                if at < len(ids):
-                    for full in windows.add((len(ids) - at) // 4, (doc, at // 4, tokens, ids[at:])):
-                        rows.window(full)
-                yield from rows.batches(4096)
+        for doc, text in _texts(batches):
+            ids = (ids_of(text) if text else b"") + end
+            tokens, at = len(ids) // 4, 0
+            while len(ids) - at >= size:
+                rows.window([(doc, at // 4, tokens, ids[at : at + size])])
+                at += size
+            if at < len(ids):
+                for full in windows.add((len(ids) - at) // 4, (doc, at // 4, tokens, ids[at:])):
+                    rows.window(full)
+            yield from rows.batches(4096)
         for _, left in sorted(windows.room):
             rows.window(windows.pieces[left], number)
         yield from rows.batches()
 
     def merge(key, got):
+        with _working():
+            return merged_rows(key, got)
+
+    def merged_rows(key, got):
         """Fill windows exactly with the pieces of a group's open windows, the fullest first; the last stays open."""
         level, group = key[0].as_py(), key[1].as_py()
         got = got.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])

@@ -217,6 +217,22 @@ def test_mix_meets_targets_and_repeats(spark):
     assert (a.taken <= 2 * a["size"]).all() and mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_places_of_sources_take_no_table_of_the_driver(spark, monkeypatch):
+    names = [*(f"s{i:03}" for i in range(200)), None, "é"]
+    sources = common.pin(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5))
+    nothing = common.pin(sources.filter("source_size < 0"))
+
+    def workers(*_, **__):
+        raise AssertionError("createDataFrame starts Python workers of another kind")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", workers)
+    for parts in (10_000, 100):
+        monkeypatch.setattr(sources, "count", lambda n=parts: 202 * 10_000 // n)
+        got = {r["source"]: r["place"] for r in mixing._indexed(sources).collect()}
+        assert got == {n: i for i, n in enumerate([*sorted(n for n in names if n), None])}
+    assert mixing._indexed(nothing).count() == 0
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -266,6 +282,29 @@ def test_plain_words_need_no_whole_run_of_the_tokenizer(monkeypatch):
     assert asked and len(got.known) <= 400 and len(got.known.old) <= 400
 
 
+def test_remembered_words_are_bounded_in_bytes():
+    ids = packing.WordIds(packing.tokenizer_path())
+    for i in range(40):
+        word = str(10**6 + i) * 30_000  # 210 KB, and 840 KB of ids
+        assert len(ids(word)) == 4 * len(word)
+    held = sum(len(w) + len(x) for words in (ids.known, ids.known.old) for w, x in words.items())
+    assert held < 36 << 20  # two generations and a word
+
+
+def test_idle_workers_forget_words(spark):
+    import pyarrow as pa
+
+    def remembered(batches):
+        from lagweave.llm import packing
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(packing._word_ids)] * b.num_rows})
+
+    packing.pack(docs(spark, ["some words"] * 40).repartition(8), packing.tokenizer_path()).count()
+    time.sleep(2.5)
+    assert [r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(remembered, "n long").collect()] == [0] * 8
+
+
 def test_word_ids_keep_separators():
     from tokenizers import Tokenizer
 
