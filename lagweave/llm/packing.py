@@ -35,7 +35,7 @@ CACHED_BYTES = 16 << 20
 #: Texts that a worker turns from Arrow into Python's strings at a time.
 TEXTS = 256
 #: Seconds without a task after which a worker forgets its words and gives memory back.
-REST_S = 1.0
+REST_S = 5.0
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -301,7 +301,7 @@ def test_idle_workers_forget_words(spark):
             yield pa.RecordBatch.from_pydict({"n": [len(packing._word_ids)] * b.num_rows})
 
     packing.pack(docs(spark, ["some words"] * 40).repartition(8), packing.tokenizer_path()).count()
-    time.sleep(2.5)
+    time.sleep(packing.REST_S + 1.5)
     assert [r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(remembered, "n long").collect()] == [0] * 8
 
 
